@@ -40,11 +40,11 @@ RUN_LOG = (
 # postings, quarantine and run log.
 PARSED = (
     "fetcher STRING, catalog_name STRING, run_ts TIMESTAMP, term_idx INT, page_no INT, "
-    "pos INT, problem STRING, fatal BOOLEAN, is_item BOOLEAN, " + POSTINGS
+    "pos BIGINT, problem STRING, fatal BOOLEAN, is_item BOOLEAN, " + POSTINGS
 )
 
 SCORED = (
-    POSTINGS + ", catalog_name STRING, key STRING, run_ts TIMESTAMP, term_idx INT, page_no INT, pos INT, "
+    POSTINGS + ", catalog_name STRING, key STRING, run_ts TIMESTAMP, term_idx INT, page_no INT, pos BIGINT, "
     "score INT, passes BOOLEAN, reject_reason STRING"
 )
 
@@ -57,5 +57,5 @@ SUMMARY = (
 
 QUARANTINE = (
     "fetcher STRING, catalog_name STRING, run_ts TIMESTAMP, term_idx INT, page_no INT, "
-    "pos INT, problem STRING, title STRING, url STRING"
+    "pos BIGINT, problem STRING, title STRING, url STRING"
 )

@@ -129,7 +129,8 @@ def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | No
     # Markup is only read where there is no plain text.
     markup = F.when(plain == "", values.get("html", F.lit(None)).cast("string"))
     rows = items.select(
-        *PLACE,
+        *PLACE[:-1],
+        F.col("pos").cast("bigint").alias("pos"),
         "_page_problem",
         F.col("pos").isNotNull().alias("is_item"),
         company.alias("company"),
@@ -148,8 +149,9 @@ def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | No
         rows = with_stripped_html(rows, "_html", "_text").withColumn(
             "description", first_non_empty(F.col("description"), F.col("_text"))
         )
-    rows = rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING)
-    return _first_of_each_id(rows) if source.dedupe else rows
+    if source.dedupe:
+        rows = _first_of_each_id(rows)
+    return rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING)
 
 
 def _first_of_each_id(rows: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def _unknown(raw: DataFrame) -> DataFrame:
     empty = F.lit(None).cast("string")
     return raw.filter(~name.isin(available())).select(
         "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
-        F.lit(None).cast("int").alias("pos"), problem.alias("problem"),
+        F.lit(None).cast("bigint").alias("pos"), problem.alias("problem"),
         F.lit(True).alias("fatal"), F.lit(False).alias("is_item"), "company",
         *[empty.alias(c) for c in POSTING[1:]],
     )
