@@ -10,8 +10,10 @@ from lookout.operators.failures import SKIP_THRESHOLD
 SHOWN_ERRORS = 10
 PREVIEW = 50
 
-# Best score first; the id makes the order total.
-ALERT_ORDER = [F.desc("score"), F.asc("company"), F.asc("title"), F.asc("job_id")]
+
+def alert_order() -> list[Column]:
+    """Best score first; the id makes the order total."""
+    return [F.desc("score"), F.asc("company"), F.asc("title"), F.asc("job_id")]
 
 
 def alert_rows(passed: DataFrame) -> DataFrame:

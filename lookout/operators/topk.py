@@ -63,6 +63,8 @@ def retain_newest(df: DataFrame, n: int, time: str = "first_seen", key: str = "k
     the count reaches ``n`` becomes the next cut digit. Rows below the cut are kept;
     only rows that tie on all digits are ranked one by one.
     """
+    if n <= 0:
+        return df.limit(0)
     hour, milli = 3_600_000_000, 1_000
     us = F.col("_us")
     bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")

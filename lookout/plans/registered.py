@@ -74,14 +74,14 @@ def _new_passing(spark, d):
 
 
 def ranked_new_alerts(spark, d):
-    ranked = _new_passing(spark, d).orderBy(*report.ALERT_ORDER)
+    ranked = _new_passing(spark, d).orderBy(*report.alert_order())
     return ranked.select("key", "company", "job_id", "title", "score")
 
 
 def preview_top_alerts(spark, d):
     top = topk.rank_preview(
         _new_passing(spark, d).select("key", "company", "title", "job_id", "score"),
-        report.ALERT_ORDER, report.PREVIEW,
+        report.alert_order(), report.PREVIEW,
     )
     return top.select("rank", "key", "score")
 

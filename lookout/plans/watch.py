@@ -33,7 +33,7 @@ def process_postings(ws: Workspace, postings: DataFrame, profile: Profile, batch
     else:
         scored = rules.with_score(fresh, profile, engine).drop("breakdown", "description")
         scored = ws.write(scored, "scored", batch_id)
-        passed = scored.filter("passes").orderBy(*report.ALERT_ORDER)
+        passed = scored.filter("passes").orderBy(*report.alert_order())
         ws.write(report.alert_rows(passed), "alerts", batch_id)
         marks = seen.first_marks(scored, F.col("run_ts"), F.col("passes"), _arrival())
     ws.write(marks, "seen", batch_id)
@@ -59,7 +59,7 @@ def run_batch(ws: Workspace, raw: DataFrame, companies: DataFrame, profile: Prof
     postings = landing.good_postings(parsed, strict)
     process_postings(ws, postings, profile, batch_id, seed=seed, dedupe_batch=dedupe_batch,
                      engine=engine, retained=retained)
-    ws.write(failures.update_failures(counters, log), "company_failures", batch_id)
+    ws.write_snapshot(failures.update_failures(counters, log), "company_failures", batch_id)
 
     picked = choice.agg(
         F.count_if(~F.col("skipped")).alias("enabled"), F.count_if("skipped").alias("skipped")

@@ -1,11 +1,12 @@
 """Landed payloads to postings, quarantine and run log.
 
-Land the payloads as ``fetcher=<name>/`` partitions: every source then reads its own
-partition only, so the union of all sources is one pass over the data.
+Landed as ``fetcher=<name>/`` partitions, every payload is read once: the passes over
+the sources prune to partitions that do not overlap.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -41,18 +42,64 @@ def _page_problem(source: Source, payload: Column) -> Column:
     ).when(bad, "malformed body")
 
 
-def _pages(source: Source, raw: DataFrame, companies: DataFrame | None) -> DataFrame:
-    """Pages of the source within its page cap, with catalogue values where needed."""
-    pages = raw.filter(F.col("fetcher") == source.name)
-    if not source.uses_catalogue:
-        return pages.filter(F.col("page_no") < source.max_pages)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute a costly value once and use it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _by_fetcher(sources: list[Source], value: Callable[[Source], Column]) -> Column:
+    """One value per row, picked by the row's fetcher; the other branches do not run."""
+    result = F.when(F.col("fetcher") == sources[0].name, value(sources[0]))
+    for source in sources[1:]:
+        result = result.when(F.col("fetcher") == source.name, value(source))
+    return result
+
+
+def _item(source: Source, j: Column) -> Column:
+    values = source.fields(j, F.col)
+    plain = F.coalesce(values.get("description"), F.lit("")) if "description" in values else F.lit("")
+    # Markup is only read where there is no plain text.
+    markup = F.when(plain == "", values.get("html", F.lit(None)).cast("string"))
+    return F.struct(
+        *[F.coalesce(values[f], F.lit("")).alias(f) for f in ("job_id", "title", "location", "url")],
+        plain.alias("description"),
+        markup.alias("_html"),
+        values["posted_at"].alias("posted_at"),
+    )
+
+
+def _page(source: Source) -> Column:
+    """The page's problem, or its items in canonical form."""
+    def read(p: Column) -> Column:
+        problem = _page_problem(source, p)
+        items = F.transform(source.items(p), lambda j: _item(source, j))
+        return F.struct(problem.alias("problem"), F.when(problem.isNull(), items).alias("items"))
+
+    return _bound(_payload(source), read)
+
+
+def _groups() -> list[list[Source]]:
+    """Sources that can share one pass: same use of catalogue and deduplication."""
+    groups: dict[tuple[bool, bool], list[Source]] = {}
+    for source in SOURCES.values():
+        groups.setdefault((source.uses_catalogue, source.dedupe), []).append(source)
+    return list(groups.values())
+
+
+def _pages(sources: list[Source], raw: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """Pages of the sources within their page caps, with catalogue values where needed."""
+    pages = raw.filter(F.col("fetcher").isin([s.name for s in sources]))
+    cap = _by_fetcher(sources, lambda s: F.lit(s.max_pages))
+    if not sources[0].uses_catalogue:
+        return pages.filter(F.col("page_no") < cap)
     if companies is None:
-        raise ValueError(f"{source.name} needs the company catalogue")
+        raise ValueError(f"{sources[0].name} needs the company catalogue")
     # Drop any later entry of a name, which would repeat its pages.
     entries = first_per_key(companies, ["name"], [F.col("pos")])
     dim = entries.select(F.col("name").alias("company"), *CATALOGUE)
-    cap = F.coalesce("max_pages", F.lit(source.max_pages))
-    return pages.join(dim, "company", "left").filter(F.col("page_no") < cap)
+    capped = [s.name for s in sources if s.catalogue_cap]
+    own = F.when(F.col("fetcher").isin(capped), F.col("max_pages"))
+    return pages.join(dim, "company", "left").filter(F.col("page_no") < F.coalesce(own, cap))
 
 
 def prefix_stops(pages: DataFrame, group: list[str], order: Column, stop: Column) -> DataFrame:
@@ -84,76 +131,70 @@ def page_stops(raw: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     A run writes this small table first. Read back, its size is known to the planner,
     which then broadcasts it when it is small and leaves the bodies where they are.
     """
+    def is_stop(source: Source) -> Column:
+        def test(p: Column) -> Column:
+            stop = _page_problem(source, p).isNotNull() | (
+                F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0
+            )
+            if source.total is not None:
+                reached = (F.col("page_no") + 1) * source.page_size
+                stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
+            return stop
+
+        return _bound(_payload(source), test)
+
     parts = []
-    for source in SOURCES.values():
-        if source.max_pages == 1 and not source.uses_catalogue:
-            continue
-        p = F.col("_p")
-        pages = _pages(source, raw, companies).withColumn("_p", _payload(source))
-        stop = _page_problem(source, p).isNotNull() | (
-            F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0
-        )
-        if source.total is not None:
-            reached = (F.col("page_no") + 1) * source.page_size
-            stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
-        parts.append(prefix_stops(pages, GROUP, F.col("page_no"), stop))
+    for sources in _groups():
+        paged = [s for s in sources if s.max_pages > 1 or s.catalogue_cap]
+        if paged:
+            pages = _pages(paged, raw, companies)
+            parts.append(
+                prefix_stops(pages, GROUP, F.col("page_no"), _by_fetcher(paged, is_stop))
+            )
     return reduce(DataFrame.unionByName, parts)
 
 
-def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | None = None,
-                 stops: DataFrame | None = None) -> DataFrame:
-    """One row per landed item, and one per page that has none.
-
-    ``problem`` is null for a good posting. ``fatal`` problems fail the company's run.
-    """
-    if isinstance(source, str):
-        source = SOURCES[source]
-    pages = _pages(source, raw, companies)
-    if stops is not None and (source.max_pages > 1 or source.uses_catalogue):
-        here = stops.filter(F.col("fetcher") == source.name)
-        pages = contiguous_prefix(pages, here, GROUP, F.col("page_no"))
-    extra = CATALOGUE if source.uses_catalogue else []
-    p = F.col("_p")
-    pages = pages.select(
-        "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
-        "status", *extra, _payload(source).alias("_p"),
-    ).withColumn("_page_problem", _page_problem(source, p))
-    good = F.when(F.col("_page_problem").isNull(), source.items(p))
-    items = pages.select(
-        "fetcher", "catalog_name", "run_ts", "term_idx", "page_no", "_page_problem", *extra,
-        F.posexplode_outer(good).alias("pos", "_j"),
-    )
-    values = source.fields(F.col("_j"), F.col)
-    company = F.lit(source.company) if source.company else F.col("catalog_name")
-    plain = first_non_empty(values.get("description", F.lit("")))
-    # Markup is only read where there is no plain text.
-    markup = F.when(plain == "", values.get("html", F.lit(None)).cast("string"))
-    rows = items.select(
-        *PLACE[:-1],
-        F.col("pos").cast("bigint").alias("pos"),
-        "_page_problem",
-        F.col("pos").isNotNull().alias("is_item"),
-        company.alias("company"),
-        first_non_empty(values["job_id"]).alias("job_id"),
-        *[first_non_empty(values[f]).alias(f) for f in ("title", "location", "url")],
-        plain.alias("description"),
-        markup.alias("_html"),
-        values["posted_at"].alias("posted_at"),
+def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
+           stops: DataFrame | None) -> DataFrame:
+    pages = _pages(sources, raw, companies)
+    if stops is not None:
+        pages = contiguous_prefix(pages, stops, GROUP, F.col("page_no"))
+    required = [s.name for s in sources if s.id_required]
+    literal = _by_fetcher(sources, lambda s: F.lit(s.company).cast("string"))
+    rows = (
+        pages.withColumn("_page", _by_fetcher(sources, _page))
+        .select(
+            "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
+            F.coalesce(literal, "company").alias("company"),
+            F.col("_page.problem").alias("_page_problem"),
+            F.posexplode_outer("_page.items").alias("pos", "_item"),
+        )
+        .select("*", F.col("pos").isNotNull().alias("is_item"), "_item.*")
     )
     no_id = F.col("is_item") & (F.col("job_id") == "")
     rows = rows.withColumns({
+        "pos": F.col("pos").cast("bigint"),
         "problem": F.coalesce("_page_problem", F.when(no_id, "missing id")),
-        "fatal": F.col("_page_problem").isNotNull() | (no_id & F.lit(source.id_required)),
+        "fatal": F.col("_page_problem").isNotNull()
+        | (no_id & F.col("fetcher").isin(required)),
     })
-    if "html" in values:
-        rows = with_stripped_html(rows, "_html", "_text").withColumn(
-            "description", first_non_empty(F.col("description"), F.col("_text"))
-        )
-    if source.dedupe:
+    rows = with_stripped_html(rows, "_html", "_text").withColumn(
+        "description", first_non_empty(F.col("description"), F.col("_text"))
+    )
+    if sources[0].dedupe:
         rows = _first_of_each_id(rows)
     return rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING)
 
 
+def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | None = None,
+                 stops: DataFrame | None = None) -> DataFrame:
+    """One row per landed item, and one per page that has none.
+
+    ``problem`` is null for a good posting. ``fatal`` problems fail the company's run.
+    """
+    return _parse([SOURCES[source] if isinstance(source, str) else source], raw, companies, stops)
+
+
 def _first_of_each_id(rows: DataFrame) -> DataFrame:
     """Search terms overlap: keep the first posting of an id, and every problem row."""
     apart = F.when(F.col("problem").isNotNull() | ~F.col("is_item"),
@@ -180,8 +221,12 @@ def _unknown(raw: DataFrame) -> DataFrame:
 
 def dispatch(raw: DataFrame, companies: DataFrame | None = None,
              stops: DataFrame | None = None) -> DataFrame:
-    """Every payload row through the normaliser of its fetcher, as one frame."""
-    parts = [parse_source(s, raw, companies, stops) for s in SOURCES.values()]
+    """Every payload row through the normaliser of its fetcher, as one frame.
+
+    Sources without catalogue values or deduplication share a single pass, in which
+    each row runs the branch of its own fetcher only.
+    """
+    parts = [_parse(sources, raw, companies, stops) for sources in _groups()]
     return reduce(DataFrame.unionByName, parts, _unknown(raw))
 
 

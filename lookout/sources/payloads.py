@@ -31,6 +31,7 @@ class Source:
     total: Callable[[Column], Column] | None = None
     dedupe: bool = False
     uses_catalogue: bool = False
+    catalogue_cap: bool = False         # the catalogue's max_pages replaces ours
 
     def __post_init__(self) -> None:
         if not self.name:
@@ -127,6 +128,7 @@ register(Source(
     total=lambda p: p["total"],
     dedupe=True,
     uses_catalogue=True,
+    catalogue_cap=True,
     fields=lambda j, c: {
         "job_id": first_non_empty(F.get(j["bulletFields"], F.lit(0)), j["externalPath"], j["title"]),
         "title": j["title"],

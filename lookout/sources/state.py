@@ -21,6 +21,7 @@ TABLES = {
     "scored": schemas.SCORED,
     "alerts": schemas.ALERTS,
     "seen": schemas.SEEN,
+    "seen_base": schemas.SEEN,
     "company_failures": schemas.FAILURES,
     "run_summary": schemas.SUMMARY,
 }
@@ -51,38 +52,40 @@ class Workspace:
         df = self._read(f"{self.root}/{table}", schema)
         return df if before is None else df.filter(F.col("batch_id") < before)
 
+    def write_snapshot(self, df: DataFrame, table: str, batch_id: int) -> None:
+        """Write a table as a whole, then the marker that makes readers use it."""
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+        marker = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("snapshot"))
+        marker.coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/{table}_ready/batch_id={batch_id}"
+        )
+
+    def _newest(self, table: str, before: int | None) -> int | None:
+        ready = self._read(f"{self.root}/{table}_ready", "snapshot BIGINT, batch_id BIGINT")
+        if before is not None:
+            ready = ready.filter(F.col("batch_id") < before)
+        return ready.agg(F.max("snapshot")).first()[0]
+
     def latest(self, table: str, before: int | None = None) -> DataFrame:
-        """The newest batch of a table that is rewritten as a whole by every batch."""
-        df = self.read(table, before)
-        newest = df.select("batch_id").agg(F.max("batch_id")).first()[0]
+        """The newest snapshot of a table; it may well be an empty one."""
+        newest = self._newest(table, before)
         if newest is None:
-            return df.drop("batch_id").limit(0)
+            return self.spark.createDataFrame([], TABLES[table])
         return self.read_batch(table, newest)
 
     def seen(self, before: int | None = None) -> DataFrame:
         """Seen keys: the newest compacted base and the batches after it."""
         marks = self.read("seen", before)
-        ready = self._read(f"{self.root}/seen_ready", "upto BIGINT")
-        if before is not None:
-            ready = ready.filter(F.col("upto") < before)
-        upto = ready.agg(F.max("upto")).first()[0]
-        if upto is None:
+        newest = self._newest("seen_base", before)
+        if newest is None:
             return marks.select(*SEEN_COLUMNS)
-        base = self.spark.read.schema(schemas.SEEN).parquet(f"{self.root}/seen_base/part={upto}")
-        later = marks.filter(F.col("batch_id") > upto)
+        later = marks.filter(F.col("batch_id") > newest)
+        base = self.read_batch("seen_base", newest)
         return base.select(*SEEN_COLUMNS).unionByName(later.select(*SEEN_COLUMNS))
 
     def compact_seen(self, batch_id: int, n: int) -> None:
-        """Rewrite the seen keys up to a batch as one base with the newest ``n``.
-
-        Readers switch over only when the marker is written, after the base is whole.
-        """
-        kept = retain(self.seen(batch_id + 1), n)
-        kept.write.mode("overwrite").parquet(f"{self.root}/seen_base/part={batch_id}")
-        marker = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("upto"))
-        marker.coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/seen_ready/part={batch_id}"
-        )
+        """Rewrite the seen keys up to a batch as one base with the newest ``n``."""
+        self.write_snapshot(retain(self.seen(batch_id + 1), n), "seen_base", batch_id)
 
     def _read(self, path: str, schema: str) -> DataFrame:
         try:

@@ -45,7 +45,7 @@ def failure_batch(ws: Workspace, order: tuple[str, ...] = ("run_ts",)) -> Callab
     """A batch function that folds run outcomes into the failure counters."""
     def run(log: DataFrame, batch_id: int) -> None:
         counters = ws.latest("company_failures", before=batch_id)
-        ws.write(failures.update_failures(counters, log, order), "company_failures", batch_id)
+        ws.write_snapshot(failures.update_failures(counters, log, order), "company_failures", batch_id)
     return run
 
 
