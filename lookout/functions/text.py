@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,6 +48,15 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Compute a costly value once and use it several times in one expression.
+
+    The optimizer copies a projected column into every use of it when it moves a
+    filter; it does not copy into or out of the function of a one-element array.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lowered(value: Column | str) -> Column:
     """Null-safe lower case."""
     return F.lower(F.coalesce(as_column(value), F.lit("")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookout.functions.text import truncate
+from lookout.operators.joins import lookup
 
 SKIP_THRESHOLD = 6
 ERROR_LENGTH = 300
@@ -24,7 +25,7 @@ def failure_streak(run_log: DataFrame, key: str = "company",
         key, at.alias("_at"), truncate("error", ERROR_LENGTH).alias("_error")
     )
     tail = (
-        failed.join(last.filter(F.col("_ok_at").isNotNull()), key, "left")
+        lookup(failed, last.filter(F.col("_ok_at").isNotNull()), [key], "left")
         .filter(F.col("_ok_at").isNull() | (F.col("_at") > F.col("_ok_at")))
         .groupBy(key)
         .agg(

@@ -16,6 +16,15 @@ def alert_order() -> list[Column]:
     return [F.desc("score"), F.asc("company"), F.asc("title"), F.asc("job_id")]
 
 
+def ranked(passed: DataFrame) -> DataFrame:
+    """All alerts, best first.
+
+    A global sort samples its input before it shuffles. The exchange by key in front
+    keeps that from scoring every posting a second time.
+    """
+    return passed.repartition("key").orderBy(*alert_order())
+
+
 def alert_rows(passed: DataFrame) -> DataFrame:
     return passed.select("key", "company", "title", "score", alert_text().alias("text"))
 

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookout.functions.text import dedup_key
+from lookout.operators.joins import lookup
 from lookout.operators.topk import first_per_key, retain_newest
 
 SEEN_COLUMNS = ("key", "company", "first_seen", "title", "location", "url", "alerted")
@@ -34,12 +35,12 @@ def new_postings(batch: DataFrame, seen: DataFrame, dedupe_batch: bool = False,
     Repeats inside the batch are all new, unless ``dedupe_batch`` asks for the first
     of each key in the given order.
     """
-    fresh = batch.join(known_keys(batch, seen), "key", "left_anti")
+    fresh = lookup(batch, known_keys(batch, seen), ["key"], "left_anti")
     return first_per_key(fresh, ["key"], order or _arrival(batch)) if dedupe_batch else fresh
 
 
 def seen_postings(batch: DataFrame, seen: DataFrame) -> DataFrame:
-    return batch.join(known_keys(batch, seen), "key", "left_semi")
+    return lookup(batch, known_keys(batch, seen), ["key"], "left_semi")
 
 
 def _arrival(batch: DataFrame) -> list[Column]:

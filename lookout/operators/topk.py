@@ -57,23 +57,22 @@ def retain_newest(df: DataFrame, n: int, time: str = "first_seen", key: str = "k
     """The ``n`` newest rows; rows of one instant are kept in order of md5(key), key.
 
     No sort of the table and no single task that merges ``n`` rows per partition.
-    The rank order is read as a few digits with bounded ranges (hour, millisecond of
-    the hour, microsecond with the first hash bits, more hash bits). For each digit
-    the rows that tie on the digits before are counted per value, and the value where
-    the count reaches ``n`` becomes the next cut digit. Rows below the cut are kept;
-    only rows that tie on all digits are ranked one by one.
+    The rank order is read as three digits with bounded ranges (hour, millisecond of
+    the hour, microsecond with the first hash bits). For each digit the rows that tie
+    on the digits before are counted per value, and the value where the count reaches
+    ``n`` becomes the next cut digit. Rows below the cut are kept; only rows that tie
+    on all digits, one in 16384 of a single instant, are ranked one by one.
     """
     if n <= 0:
         return df.limit(0)
     hour, milli = 3_600_000_000, 1_000
     us = F.col("_us")
-    bits = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint")
+    bits = F.shiftright(F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int"), 2)
     df = df.withColumn("_us", F.coalesce(-micros(df, time), F.lit(2**62)))
     digits = {
         "_g0": F.floor(us / hour),
         "_g1": F.floor(F.pmod(us, F.lit(hour)) / milli),
-        "_g2": F.pmod(us, F.lit(milli)) * 4096 + F.shiftright(bits, 20),
-        "_g3": bits.bitwiseAND(0xFFFFF),
+        "_g2": F.pmod(us, F.lit(milli)) * 16384 + bits,
     }
     return _keep_smallest(df, n, digits, [F.md5(key), F.col(key)]).drop("_us")
 

@@ -74,8 +74,8 @@ def _new_passing(spark, d):
 
 
 def ranked_new_alerts(spark, d):
-    ranked = _new_passing(spark, d).orderBy(*report.alert_order())
-    return ranked.select("key", "company", "job_id", "title", "score")
+    passed = _new_passing(spark, d).select("key", "company", "job_id", "title", "score")
+    return report.ranked(passed)
 
 
 def preview_top_alerts(spark, d):

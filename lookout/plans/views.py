@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookout.functions.text import dedup_key
@@ -87,15 +89,16 @@ def payloads(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     parts = table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS k", "p_name AS n", "p_brand AS b", "p_type AS t", "p_size AS z"
     )
-    pages = F.array(*[
-        F.struct(F.lit(n).alias("fetcher"), F.expr(f"to_json({PAYLOADS[n][0]})").alias("body"))
-        for n in names or PAYLOADS
-    ])
-    return parts.select("k", "b", F.inline(pages)).select(
-        "fetcher", F.col("b").alias("company"), F.col("k").alias("term_idx"),
-        F.lit(0).alias("page_no"), instant(RUN_TS).alias("run_ts"),
-        F.lit("ok").alias("status"), "body",
-    )
+    frames = [
+        parts.select(
+            F.lit(name).alias("fetcher"), F.col("b").alias("company"),
+            F.col("k").alias("term_idx"), F.lit(0).alias("page_no"),
+            instant(RUN_TS).alias("run_ts"), F.lit("ok").alias("status"),
+            F.expr(f"to_json({PAYLOADS[name][0]})").alias("body"),
+        )
+        for name in names or PAYLOADS
+    ]
+    return reduce(DataFrame.union, frames)
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookout.operators import failures, report, rules, seen
+from lookout.operators.joins import lookup
 from lookout.operators.rules import Profile
 from lookout.sources import landing
 from lookout.sources.state import Workspace
@@ -50,7 +51,7 @@ def run_batch(ws: Workspace, raw: DataFrame, companies: DataFrame, profile: Prof
     counters = ws.latest("company_failures", before=batch_id)
     choice = failures.with_skip(landing.active(companies), counters, threshold)
     wanted = choice.filter(~F.col("skipped")).select(F.col("name").alias("company")).distinct()
-    raw = raw.join(wanted, "company", "left_semi")
+    raw = lookup(raw, wanted, ["company"], "left_semi")
 
     stops = ws.write(landing.page_stops(raw, companies), "page_stops", batch_id)
     parsed = ws.write(landing.dispatch(raw, companies, stops), "parsed", batch_id)

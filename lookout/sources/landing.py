@@ -7,11 +7,12 @@ the sources prune to partitions that do not overlap.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lookout.functions.text import company_error, first_non_empty, with_stripped_html
+from lookout.functions.text import bound, company_error, first_non_empty, with_stripped_html
+from lookout.operators.joins import lookup
 from lookout.operators.topk import first_per_key
 from lookout.sources.payloads import SOURCES, Source, available
 
@@ -42,11 +43,6 @@ def _page_problem(source: Source, payload: Column) -> Column:
     ).when(bad, "malformed body")
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Compute a costly value once and use it several times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _by_fetcher(sources: list[Source], value: Callable[[Source], Column]) -> Column:
     """One value per row, picked by the row's fetcher; the other branches do not run."""
     result = F.when(F.col("fetcher") == sources[0].name, value(sources[0]))
@@ -68,6 +64,7 @@ def _item(source: Source, j: Column) -> Column:
     )
 
 
+@cache
 def _page(source: Source) -> Column:
     """The page's problem, or its items in canonical form."""
     def read(p: Column) -> Column:
@@ -75,7 +72,7 @@ def _page(source: Source) -> Column:
         items = F.transform(source.items(p), lambda j: _item(source, j))
         return F.struct(problem.alias("problem"), F.when(problem.isNull(), items).alias("items"))
 
-    return _bound(_payload(source), read)
+    return bound(_payload(source), read)
 
 
 def _groups() -> list[list[Source]]:
@@ -99,7 +96,8 @@ def _pages(sources: list[Source], raw: DataFrame, companies: DataFrame | None) -
     dim = entries.select(F.col("name").alias("company"), *CATALOGUE)
     capped = [s.name for s in sources if s.catalogue_cap]
     own = F.when(F.col("fetcher").isin(capped), F.col("max_pages"))
-    return pages.join(dim, "company", "left").filter(F.col("page_no") < F.coalesce(own, cap))
+    pages = lookup(pages, dim, ["company"], "left")
+    return pages.filter(F.col("page_no") < F.coalesce(own, cap))
 
 
 def prefix_stops(pages: DataFrame, group: list[str], order: Column, stop: Column) -> DataFrame:
@@ -119,37 +117,39 @@ def prefix_stops(pages: DataFrame, group: list[str], order: Column, stop: Column
 def contiguous_prefix(pages: DataFrame, stops: DataFrame, group: list[str], order: Column) -> DataFrame:
     """Rows up to and including the stop of their group."""
     return (
-        pages.join(stops, group, "left")
+        lookup(pages, stops, group, "left")
         .filter(F.col("_stop").isNull() | (order <= F.col("_stop")))
         .drop("_stop")
     )
 
 
+@cache
+def _is_stop(source: Source) -> Column:
+    def test(p: Column) -> Column:
+        stop = _page_problem(source, p).isNotNull() | (
+            F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0
+        )
+        if source.total is not None:
+            reached = (F.col("page_no") + 1) * source.page_size
+            stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
+        return stop
+
+    return bound(_payload(source), test)
+
+
 def page_stops(raw: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """Stops of all paged sources: a failed, malformed, empty or last page.
 
     A run writes this small table first. Read back, its size is known to the planner,
     which then broadcasts it when it is small and leaves the bodies where they are.
     """
-    def is_stop(source: Source) -> Column:
-        def test(p: Column) -> Column:
-            stop = _page_problem(source, p).isNotNull() | (
-                F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0
-            )
-            if source.total is not None:
-                reached = (F.col("page_no") + 1) * source.page_size
-                stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
-            return stop
-
-        return _bound(_payload(source), test)
-
     parts = []
     for sources in _groups():
         paged = [s for s in sources if s.max_pages > 1 or s.catalogue_cap]
         if paged:
             pages = _pages(paged, raw, companies)
             parts.append(
-                prefix_stops(pages, GROUP, F.col("page_no"), _by_fetcher(paged, is_stop))
+                prefix_stops(pages, GROUP, F.col("page_no"), _by_fetcher(paged, _is_stop))
             )
     return reduce(DataFrame.unionByName, parts)
 
@@ -238,7 +238,7 @@ def good_postings(parsed: DataFrame, strict: bool = False) -> DataFrame:
     good = parsed.filter("is_item AND problem IS NULL")
     if strict:
         failed = parsed.filter("fatal").select("run_ts", "catalog_name").distinct()
-        good = good.join(failed, ["run_ts", "catalog_name"], "left_anti")
+        good = lookup(good, failed, ["run_ts", "catalog_name"], "left_anti")
     return good.select(*POSTING, "catalog_name", "run_ts", "term_idx", "page_no", "pos")
 
 
