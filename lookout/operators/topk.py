@@ -45,73 +45,74 @@ def rank_preview(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def micros(df: DataFrame, column: str) -> Column:
-    """Microseconds since 1970 of either timestamp type, free of the session zone."""
+def time_digits(df: DataFrame, column: str) -> list[Column]:
+    """Hour, second of the hour and microsecond of the second, free of the session zone."""
     if isinstance(df.schema[column].dataType, TimestampNTZType):
-        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-        return F.timestamp_diff("MICROSECOND", epoch, F.col(column))
-    return F.unix_micros(column)
+        fraction = F.date_part(F.lit("SECOND"), F.col(column)) * 1_000_000
+        return [
+            F.unix_date(F.to_date(column)) * 24 + F.hour(column),
+            F.minute(column) * 60 + F.second(column),
+            F.pmod(fraction.cast("bigint"), F.lit(1_000_000)),
+        ]
+    us = F.unix_micros(column)
+    within, fraction = F.pmod(us, F.lit(3_600_000_000)), F.pmod(us, F.lit(1_000_000))
+    return [us - within, within - fraction, fraction]
 
 
 def retain_newest(df: DataFrame, n: int, time: str = "first_seen", key: str = "key") -> DataFrame:
     """The ``n`` newest rows; rows of one instant are kept in order of md5(key), key.
 
     No sort of the table and no single task that merges ``n`` rows per partition.
-    The rank order is read as three digits with bounded ranges (hour, millisecond of
-    the hour, microsecond with the first hash bits). For each digit the rows that tie
-    on the digits before are counted per value, and the value where the count reaches
-    ``n`` becomes the next cut digit. Rows below the cut are kept; only rows that tie
-    on all digits, one in 16384 of a single instant, are ranked one by one.
+    The rank order is read as digits with bounded ranges: hour, second, microsecond,
+    first bits of the hash. For each digit the rows that tie on the digits before are
+    counted per value, and the value where the count reaches ``n`` becomes the next
+    cut digit. Rows below the cut are kept; only rows that tie on all digits, one in
+    16384 of a single instant, are ranked one by one.
     """
     if n <= 0:
         return df.limit(0)
-    hour, milli = 3_600_000_000, 1_000
-    us = F.col("_us")
-    bits = F.shiftright(F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("int"), 2)
-    df = df.withColumn("_us", F.coalesce(-micros(df, time), F.lit(2**62)))
-    digits = {
-        "_g0": F.floor(us / hour),
-        "_g1": F.floor(F.pmod(us, F.lit(hour)) / milli),
-        "_g2": F.pmod(us, F.lit(milli)) * 16384 + bits,
-    }
-    return _keep_smallest(df, n, digits, [F.md5(key), F.col(key)]).drop("_us")
-
-
-def _keep_smallest(
-    df: DataFrame, n: int, digits: dict[str, Column], tail: list[Column]
-) -> DataFrame:
-    names = list(digits)
-    df = df.withColumns(digits)
+    # Newest first; a row without a time counts as the oldest.
+    digits = [F.coalesce(-d.cast("bigint"), F.lit(2**62)) for d in time_digits(df, time)]
+    bits = F.shiftright(F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("bigint"), 2)
+    names = ["_g0", "_g1", "_g2", "_g3"]
+    placed = df.select(*[d.alias(name) for d, name in zip([*digits, bits], names)])
+    last = _cut(placed, n, names).scalar()
+    at = F.struct(*[d.alias(name) for d, name in zip(digits, names)])
+    below = df.filter((at < last["at"]) | ((at == last["at"]) & (bits < last["bits"])))
+    tied = df.filter((at == last["at"]) & (bits == last["bits"]))
+    # Tied rows share the first hash digits, so this is one group.
+    w = Window.partitionBy(F.substring(F.md5(key), 1, 3)).orderBy(F.md5(key), key)
+    tied = tied.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= last["need"])
+    return below.unionByName(tied.drop("_rn"))
+
+
+def _cut(placed: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """One row: the digits at which the count reaches ``n``, and how many rows to take
+    from those that tie on all of them."""
     cut = None
     for i, digit in enumerate(names):
         prefix = names[:i]
         if cut is None:
-            tied = df.select(digit).withColumn("_need", F.lit(n).cast("bigint"))
+            tied = placed.select(digit).withColumn("_need", F.lit(n).cast("bigint"))
         else:
             # One row by construction, hence the hint.
-            tied = df.select(*prefix, digit).join(F.broadcast(cut), prefix)
+            tied = placed.select(*prefix, digit).join(F.broadcast(cut), prefix)
         counts = tied.groupBy(*prefix, "_need", digit).agg(F.count("*").alias("_n"))
         w = Window.partitionBy(*prefix, "_need").orderBy(digit)
         before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        at = (F.col("_before") < F.col("_need")) & (
+        reached = (F.col("_before") < F.col("_need")) & (
             F.col("_before") + F.col("_n") >= F.col("_need")
         )
         cut = (
             counts.withColumn("_before", before)
-            .filter(at)
+            .filter(reached)
             .select(*prefix, digit, (F.col("_need") - F.col("_before")).alias("_need"))
             .limit(1)
         )
-    # Null when there are fewer than n rows, which are then all kept.
-    last = cut.agg(F.max(F.struct(*names, "_need")).alias("_cut")).scalar()
-    df = df.withColumn("_at", F.struct(*names)).withColumn("_cut", last)
-    edge = F.struct(*[F.col("_cut")[d].alias(d) for d in names])
-    ours = [c for c in df.columns if c not in (*names, "_at", "_cut")]
-    kept = df.filter(F.col("_cut").isNull() | (F.col("_at") < edge)).select(*ours)
-    w = Window.partitionBy(*names).orderBy(*tail)
-    tied = (
-        df.filter(F.col("_at") == edge)
-        .withColumn("_rn", F.row_number().over(w))
-        .filter(F.col("_rn") <= F.col("_cut")["_need"])
-    )
-    return kept.unionByName(tied.select(*ours))
+    # Without a cut there are at most n rows, and all of them lie below the end.
+    end = F.struct(*[F.lit(2**63 - 1).alias(d) for d in names[:-1]])
+    return cut.agg(F.struct(
+        F.coalesce(F.max(F.struct(*names[:-1])), end).alias("at"),
+        F.max(names[-1]).alias("bits"),
+        F.max("_need").alias("need"),
+    ).alias("cut"))
