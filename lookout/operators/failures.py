@@ -19,7 +19,8 @@ def failure_streak(run_log: DataFrame, key: str = "company",
     (the first order column). Both aggregations combine on the map side; only failed
     rows are joined, and against one row per company.
     """
-    at = F.struct(*order)
+    # One plain column keeps the aggregate over all runs a hash aggregate.
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     last = run_log.groupBy(key).agg(F.max(F.when(F.col("ok"), at)).alias("_ok_at"))
     failed = run_log.filter(~F.col("ok")).select(
         key, at.alias("_at"), truncate("error", ERROR_LENGTH).alias("_error")
@@ -33,12 +34,13 @@ def failure_streak(run_log: DataFrame, key: str = "company",
             F.max(F.struct("_at", "_error")).alias("_last"),
         )
     )
+    last_at = F.col("_last._at") if len(order) == 1 else F.col("_last._at")[order[0]]
     return last.join(tail, key, "left").select(
         key,
         F.coalesce("_count", F.lit(0)).alias("count"),
         F.col("_ok_at").isNotNull().alias("had_ok"),
         F.col("_last._error").alias("last_error"),
-        F.col("_last._at")[order[0]].alias("last_failed_at"),
+        last_at.alias("last_failed_at"),
     )
 
 

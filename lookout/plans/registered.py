@@ -11,6 +11,7 @@ from lookout.operators import failures, report, rules, seen, topk
 from lookout.plans import views
 from lookout.plans.payload_queries import PAYLOADS
 from lookout.plans.profiles import POLITE, PROSE, ROBOTICS
+from lookout.session import scratch_dir
 from lookout.sources import landing
 from lookout.streaming import replay
 
@@ -330,7 +331,11 @@ def union_sources(spark, d):
 
 
 def dispatch_sources(spark, d):
-    log = landing.run_log(_dispatched(spark, d))
+    """The run log reads the parsed rows twice, so they are written first, as in a run."""
+    parsed = _dispatched(spark, d)
+    path = scratch_dir(spark, "parsed")
+    parsed.write.parquet(path)
+    log = landing.run_log(spark.read.schema(parsed.schema).parquet(path))
     return log.select("company", "fetcher", "ok", "error", "n_postings")
 
 

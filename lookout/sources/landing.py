@@ -253,21 +253,25 @@ def quarantine(parsed: DataFrame) -> DataFrame:
 
 
 def run_log(parsed: DataFrame) -> DataFrame:
-    """One row per company and run: outcome, first fatal error, number of postings."""
-    place = F.struct("term_idx", "page_no", "pos", "problem")
-    return (
-        parsed.groupBy("run_ts", F.col("catalog_name").alias("company"), "fetcher")
-        .agg(
-            F.min(F.when(F.col("fatal"), place)).alias("_first"),
-            F.count_if(F.col("is_item") & F.col("problem").isNull()).alias("n_postings"),
-        )
-        .select(
-            "run_ts", "company", "fetcher",
-            F.col("_first").isNull().alias("ok"),
-            F.when(
-                F.col("_first").isNotNull(),
-                company_error(F.col("company"), F.col("fetcher"), F.col("_first.problem")),
-            ).alias("error"),
-            "n_postings",
-        )
+    """One row per company and run: outcome, first fatal error, number of postings.
+
+    Only the counts run over all rows, as a hash aggregate; the first error, which needs
+    sorted rows, is taken from the fatal ones alone.
+    """
+    group = ["run_ts", "catalog_name", "fetcher"]
+    counts = parsed.groupBy(*group).agg(
+        F.count_if(F.col("is_item") & F.col("problem").isNull()).alias("n_postings"),
+        F.count_if("fatal").alias("_fatal"),
+    )
+    first = (
+        parsed.filter("fatal").groupBy(*group)
+        .agg(F.min(F.struct("term_idx", "page_no", "pos", "problem")).alias("_first"))
+    )
+    same = [counts[c].eqNullSafe(first[c]) for c in group]
+    error = company_error(counts["catalog_name"], counts["fetcher"], first["_first.problem"])
+    return counts.join(first, same, "left").select(
+        counts["run_ts"], counts["catalog_name"].alias("company"), counts["fetcher"],
+        (F.col("_fatal") == 0).alias("ok"),
+        F.when(F.col("_fatal") > 0, error).alias("error"),
+        "n_postings",
     )
