@@ -320,10 +320,19 @@ def _normalize(name):
     return query
 
 
+def _written(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """The frame as a scratch table, so that several passes do not compute it again."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _dispatched(spark, d):
+    """All payloads, landed by fetcher as a real feed would be, and then parsed."""
     raw = views.payloads(spark, d)
     nobody = raw.filter(F.col("fetcher") == "meta").withColumn("fetcher", F.lit("nobody"))
-    return landing.dispatch(raw.unionByName(nobody), views.brands(spark, d))
+    landed = _written(raw.unionByName(nobody), "landing", "fetcher")
+    return landing.dispatch(landed, views.brands(spark, d))
 
 
 def union_sources(spark, d):
@@ -331,11 +340,8 @@ def union_sources(spark, d):
 
 
 def dispatch_sources(spark, d):
-    """The run log reads the parsed rows twice, so they are written first, as in a run."""
-    parsed = _dispatched(spark, d)
-    path = scratch_dir(spark, "parsed")
-    parsed.write.parquet(path)
-    log = landing.run_log(spark.read.schema(parsed.schema).parquet(path))
+    # The run log reads the parsed rows twice.
+    log = landing.run_log(_written(_dispatched(spark, d), "parsed"))
     return log.select("company", "fetcher", "ok", "error", "n_postings")
 
 
