@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from lookout.llm import decontamination, language, mixing, pii, simhash, tokens
+from lookout.llm import (
+    decontamination, language, mixing, pii, quality, secrets, simhash, site_quality, tokens,
+)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
+    "op3_quality_rules": quality.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
     "op5_language_id": language.op5_language_id,
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_quality_classifier": site_quality.op7_quality_classifier,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
 }
