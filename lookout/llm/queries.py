@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lookout.llm import (
-    decontamination, language, mixing, pii, quality, secrets, simhash, site_quality, tokens,
+    decontamination, language, mixing, pii, quality, secrets, simhash, site_quality, substrings, tokens,
 )
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_language_id": language.op5_language_id,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_quality_classifier": site_quality.op7_quality_classifier,
+    "op8_suffix_array_dedup": substrings.op8_suffix_array_dedup,
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
 }
