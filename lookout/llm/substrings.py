@@ -1,8 +1,8 @@
 """Exact removal of passages that repeat across documents.
 
-Texts are cut into shards by anchors: of each window of 50 bytes the 16-byte string with
+Texts are cut into shards by anchors: of each window of 50 bytes the 20-byte string with
 the smallest hash, which any copy of the window picks as well. Around an anchor stands its
-context, the 84 bytes that hold all windows that can pick it. Contexts equal in full are
+context, the 80 bytes that hold all windows that can pick it. Contexts equal in full are
 settled by their hash; different contexts of an anchor go into a shard whose suffix array
 is induced, and whose common prefixes of 50 bytes or more tell which windows they share.
 """
@@ -22,7 +22,7 @@ from lookout.llm.suffixes import permuted_prefixes, suffix_array
 from lookout.operators.joins import lookup
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 SPAN = LENGTH - GRAM + 1
 # Bytes of contexts that a shard holds on average, and contexts of one anchor beyond which
 # its windows are compared by an aggregate over all of them instead.
@@ -64,11 +64,11 @@ class Powers:
 
 
 def anchors(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of anchors, hashes of their 16 bytes, hashes of their contexts."""
+    """Positions of anchors, hashes of their 20 bytes, hashes of their contexts."""
     b = np.frombuffer(text, np.uint8).astype(np.uint64)
     n = len(b)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     up, down = powers.to(n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((b + np.uint64(1)) * up[:n], out=total[1:])
@@ -80,7 +80,7 @@ def anchors(text: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.nda
     lo, hi = np.maximum(at - (SPAN - 1), 0), np.minimum(at + LENGTH, n)
     # With the anchor's own hash: in a short text, several anchors have one context.
     c = _mixed((total[hi] - total[lo]) * down[lo] + (hi - lo).astype(np.uint64) * MIX + _mixed(h[at]))
-    return at, (h[at] >> np.uint64(33)).astype(np.int32), c.view(np.int64)
+    return at, h[at].view(np.int64), c.view(np.int64)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -108,18 +108,20 @@ def _found(texts: DataFrame, settled: bool) -> DataFrame:
                 parts.append((np.full(len(c), key, np.int64), v, c))
             if not parts:
                 continue
-            key, v, c = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((key, c))
-            key, v, c = key[order], v[order], c[order]
+            found = [np.concatenate(x) for x in zip(*parts)]
+            order = np.lexsort((found[0], found[2]))
+            key, c = found[0][order], found[2][order]
             fresh = np.r_[True, c[1:] != c[:-1]][: len(c)]
             if settled:
                 first = key[np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))] if len(c) else key
                 take = (key > first) & np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])][: len(c)]
             else:
                 take = fresh
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, v, c)], names=["key", "v", "c"])
+            # In the order of the texts: neighbouring rows then differ little.
+            take = np.sort(order[take])
+            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in found], names=["key", "v", "c"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, v int, c long")
+    return texts.select("key", "text").mapInArrow(run, "key long, v long, c long")
 
 
 def _contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -137,10 +139,10 @@ def _contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
                         cs.discard(c)
                         rows.append((key, v, c, data[max(p - SPAN + 1, 0) : p + LENGTH]))
             columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=["key", "v", "c", "context"])
 
-    return texts.join(wanted, "key").select("key", "text", "cs").mapInArrow(run, "key long, v int, c long, context binary")
+    return texts.join(wanted, "key").select("key", "text", "cs").mapInArrow(run, "key long, v long, c long, context binary")
 
 
 def shared_windows(contexts: list[bytes], keys: list[int]) -> list[int]:
@@ -176,10 +178,10 @@ def shared_windows(contexts: list[bytes], keys: list[int]) -> list[int]:
 
 def _shared(contexts: DataFrame) -> DataFrame:
     """``key, c, mask`` of the windows that smaller documents have, too."""
-    sizes = contexts.groupBy("v").agg(F.count("*").alias("n"))
-    counted = stored(lookup(contexts, sizes, ["v"], "inner"), "substrings-contexts")
-    few = counted.where(F.col("n") <= CROWDED)
-    shards = max(1, few.count() * 85 // SHARD_BYTES)
+    contexts = stored(contexts, "substrings-contexts")
+    crowded = contexts.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("v")
+    few = contexts.join(crowded, "v", "left_anti")
+    shards = max(1, contexts.count() * 85 // SHARD_BYTES)
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         masks = shared_windows(rows["context"].map(bytes).tolist(), rows["key"].tolist())
@@ -189,12 +191,12 @@ def _shared(contexts: DataFrame) -> DataFrame:
     out = sharded.groupBy("shard").applyInPandas(shard, "key long, c long, mask long")
     # An anchor with very many contexts: its windows are keys themselves.
     at = F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH))
-    many = counted.where((F.col("n") > CROWDED) & (F.length("context") >= LENGTH)).select("key", "c", "context", at.alias("at"))
+    many = contexts.join(crowded, "v").where(F.length("context") >= LENGTH).select("key", "c", "context", at.alias("at"))
     many = many.select("key", "c", "at", F.substring("context", F.col("at") + 1, F.lit(LENGTH)).alias("w"))
     least = many.groupBy("w").agg(F.min("key").alias("least"))
     hit = lookup(many, least, ["w"], "inner").where("least < key")
-    crowded = hit.groupBy("key", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
-    return out.union(crowded)
+    masks = hit.groupBy("key", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
+    return out.union(masks)
 
 
 def removed(text: bytes, gone: set[int], part: dict[int, int], powers: Powers) -> np.ndarray:
