@@ -11,6 +11,7 @@ from lookout.operators.joins import lookup
 from lookout.operators.topk import first_per_key, retain_newest
 
 SEEN_COLUMNS = ("key", "company", "first_seen", "title", "location", "url", "alerted")
+# The size that a retained state had as the feature was specified; nothing is evicted by default.
 RETAINED = 50_000
 
 
@@ -72,6 +73,6 @@ def seed(seen: DataFrame, batch: DataFrame, run_ts: datetime | Column,
     return mark_seen(seen, batch, run_ts, F.lit(False), order)
 
 
-def retain(seen: DataFrame, n: int = RETAINED) -> DataFrame:
-    """The newest ``n`` keys. An evicted key alerts again if it is still listed."""
-    return retain_newest(seen, n, "first_seen", "key")
+def retain(seen: DataFrame, n: int | None = RETAINED) -> DataFrame:
+    """The newest ``n`` keys. An evicted key alerts again if it is still listed; with None all stay."""
+    return seen if n is None else retain_newest(seen, n, "first_seen", "key")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,6 +13,8 @@ from lookout.operators.rules import Profile
 from lookout.sources import landing
 from lookout.sources.state import Workspace
 
+# Batches between two snapshots of the seen table.
+COMPACT_EVERY = 16
 ARRIVAL = ("run_ts", "catalog_name", "term_idx", "page_no", "pos")
 
 
@@ -21,11 +24,12 @@ def _arrival() -> list[Column]:
 
 def process_postings(ws: Workspace, postings: DataFrame, profile: Profile, batch_id: int, *,
                      seed: bool = False, dedupe_batch: bool = False, engine: str = "arrow",
-                     retained: int | None = seen.RETAINED) -> None:
+                     retained: int | None = None, compact_every: int | None = COMPACT_EVERY) -> None:
     """Score what is new, write alerts, mark everything new as seen.
 
     New postings are scored once and written; alerts and marks come from that table.
-    Seeding marks without scoring.
+    Seeding marks without scoring. Every ``compact_every`` batches the seen table becomes
+    one snapshot; only ``retained`` evicts keys, and an evicted key alerts again.
     """
     postings = seen.with_key(postings)
     fresh = seen.new_postings(postings, ws.seen(batch_id), dedupe_batch, _arrival())
@@ -39,27 +43,33 @@ def process_postings(ws: Workspace, postings: DataFrame, profile: Profile, batch
         marks = seen.first_marks(scored, F.col("run_ts"), F.col("passes"), _arrival())
     ws.write(marks, "seen", batch_id)
     # The count reads file footers only.
-    if retained is not None and ws.seen(batch_id + 1).count() > retained:
+    full = retained is not None and ws.seen(batch_id + 1).count() > retained
+    if full or (compact_every and (batch_id + 1) % compact_every == 0):
         ws.compact_seen(batch_id, retained)
 
 
 def run_batch(ws: Workspace, raw: DataFrame, companies: DataFrame, profile: Profile,
               batch_id: int, *, seed: bool = False, strict: bool = False,
               dedupe_batch: bool = False, threshold: int = failures.SKIP_THRESHOLD,
-              engine: str = "arrow", retained: int | None = seen.RETAINED) -> DataFrame:
+              engine: str = "arrow", retained: int | None = None,
+              compact_every: int | None = COMPACT_EVERY,
+              probe_after: datetime | None = None) -> DataFrame:
     """One run over landed payloads; returns its summary row."""
     counters = ws.latest("company_failures", before=batch_id)
-    choice = failures.with_skip(landing.active(companies), counters, threshold)
+    choice = failures.with_skip(landing.active(companies), counters, threshold, None if probe_after is None else F.lit(probe_after))
     wanted = choice.filter(~F.col("skipped")).select(F.col("name").alias("company")).distinct()
     raw = lookup(raw, wanted, ["company"], "left_semi")
 
     stops = ws.write(landing.page_stops(raw, companies), "page_stops", batch_id)
     parsed = ws.write(landing.dispatch(raw, companies, stops), "parsed", batch_id)
     ws.write(landing.quarantine(parsed), "quarantine", batch_id)
-    log = ws.write(landing.run_log(parsed), "run_log", batch_id)
+    log = landing.run_log(parsed)
+    at = F.lit(log.agg(F.max("run_ts")).first()[0] or datetime.now()).cast("timestamp")
+    log = landing.with_missing(log, choice.filter(~F.col("skipped")).select("name", "fetcher"), at)
+    log = ws.write(log, "run_log", batch_id)
     postings = landing.good_postings(parsed, strict)
     process_postings(ws, postings, profile, batch_id, seed=seed, dedupe_batch=dedupe_batch,
-                     engine=engine, retained=retained)
+                     engine=engine, retained=retained, compact_every=compact_every)
     ws.write_snapshot(failures.update_failures(counters, log), "company_failures", batch_id)
 
     picked = choice.agg(

@@ -18,6 +18,8 @@ from lookout.sources.payloads import SOURCES, Source, available
 
 OK = "ok"
 GROUP = ["fetcher", "run_ts", "company", "term_idx"]
+# Problems of pages that are not read; a page beyond an agreed cap fails no run.
+NO_NUMBER, BEYOND_CAP = "missing page number", "beyond the page cap"
 CATALOGUE = ["host", "site", "public_url_base", "max_pages"]
 POSTING = ["company", "job_id", "title", "location", "url", "description", "posted_at"]
 PLACE = ["fetcher", "catalog_name", "run_ts", "term_idx", "page_no", "pos"]
@@ -84,20 +86,26 @@ def _groups() -> list[list[Source]]:
 
 
 def _pages(sources: list[Source], raw: DataFrame, companies: DataFrame | None) -> DataFrame:
-    """Pages of the sources within their page caps, with catalogue values where needed."""
+    """Pages of the sources, with catalogue values where needed.
+
+    ``_unread`` says why a page isn't read: it has no number, or lies beyond a cap that
+    the source or the catalogue sets. Such pages stay, as problem rows.
+    """
     pages = raw.filter(F.col("fetcher").isin([s.name for s in sources]))
-    cap = _by_fetcher(sources, lambda s: F.lit(s.max_pages))
-    if not sources[0].uses_catalogue:
-        return pages.filter(F.col("page_no") < cap)
-    if companies is None:
-        raise ValueError(f"{sources[0].name} needs the company catalogue")
-    # Drop any later entry of a name, which would repeat its pages.
-    entries = first_per_key(companies, ["name"], [F.col("pos")])
-    dim = entries.select(F.col("name").alias("company"), *CATALOGUE)
-    capped = [s.name for s in sources if s.catalogue_cap]
-    own = F.when(F.col("fetcher").isin(capped), F.col("max_pages"))
-    pages = lookup(pages, dim, ["company"], "left")
-    return pages.filter(F.col("page_no") < F.coalesce(own, cap))
+    cap = _by_fetcher(sources, lambda s: F.lit(s.max_pages).cast("int"))
+    if sources[0].uses_catalogue:
+        if companies is None:
+            raise ValueError(f"{sources[0].name} needs the company catalogue")
+        # Drop any later entry of a name, which would repeat its pages.
+        entries = first_per_key(companies, ["name"], [F.col("pos")])
+        dim = entries.select(F.col("name").alias("company"), *CATALOGUE)
+        capped = [s.name for s in sources if s.catalogue_cap]
+        cap = F.coalesce(F.when(F.col("fetcher").isin(capped), F.col("max_pages")), cap)
+        pages = lookup(pages, dim, ["company"], "left")
+    return pages.withColumn(
+        "_unread",
+        F.when(F.col("page_no").isNull(), NO_NUMBER).when(F.col("page_no") >= cap, BEYOND_CAP),
+    )
 
 
 def prefix_stops(pages: DataFrame, group: list[str], order: Column, stop: Column) -> DataFrame:
@@ -118,7 +126,7 @@ def contiguous_prefix(pages: DataFrame, stops: DataFrame, group: list[str], orde
     """Rows up to and including the stop of their group."""
     return (
         lookup(pages, stops, group, "left")
-        .filter(F.col("_stop").isNull() | (order <= F.col("_stop")))
+        .filter(F.col("_stop").isNull() | order.isNull() | (order <= F.col("_stop")))
         .drop("_stop")
     )
 
@@ -145,9 +153,9 @@ def page_stops(raw: DataFrame, companies: DataFrame | None = None) -> DataFrame:
     """
     parts = []
     for sources in _groups():
-        paged = [s for s in sources if s.max_pages > 1 or s.catalogue_cap]
+        paged = [s for s in sources if s.paged or s.catalogue_cap]
         if paged:
-            pages = _pages(paged, raw, companies)
+            pages = _pages(paged, raw, companies).filter(F.col("_unread").isNull())
             parts.append(
                 prefix_stops(pages, GROUP, F.col("page_no"), _by_fetcher(paged, _is_stop))
             )
@@ -162,11 +170,11 @@ def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
     required = [s.name for s in sources if s.id_required]
     literal = _by_fetcher(sources, lambda s: F.lit(s.company).cast("string"))
     rows = (
-        pages.withColumn("_page", _by_fetcher(sources, _page))
+        pages.withColumn("_page", F.when(F.col("_unread").isNull(), _by_fetcher(sources, _page)))
         .select(
             "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
             F.coalesce(literal, "company").alias("company"),
-            F.col("_page.problem").alias("_page_problem"),
+            F.coalesce("_unread", "_page.problem").alias("_page_problem"),
             F.posexplode_outer("_page.items").alias("pos", "_item"),
         )
         .select("*", F.col("pos").isNotNull().alias("is_item"), "_item.*")
@@ -175,12 +183,13 @@ def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
     rows = rows.withColumns({
         "pos": F.col("pos").cast("bigint"),
         "problem": F.coalesce("_page_problem", F.when(no_id, "missing id")),
-        "fatal": F.col("_page_problem").isNotNull()
+        "fatal": (F.col("_page_problem").isNotNull() & (F.col("_page_problem") != BEYOND_CAP))
         | (no_id & F.col("fetcher").isin(required)),
     })
-    rows = with_stripped_html(rows, "_html", "_text").withColumn(
-        "description", first_non_empty(F.col("description"), F.col("_text"))
-    )
+    if any(s.has_markup for s in sources):
+        rows = with_stripped_html(rows, "_html", "_text").withColumn(
+            "description", first_non_empty(F.col("description"), F.col("_text"))
+        )
     if sources[0].dedupe:
         rows = _first_of_each_id(rows)
     return rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING)
@@ -275,3 +284,21 @@ def run_log(parsed: DataFrame) -> DataFrame:
         F.when(F.col("_fatal") > 0, error).alias("error"),
         "n_postings",
     )
+
+
+def with_missing(log: DataFrame, wanted: DataFrame, run_ts: Column) -> DataFrame:
+    """The run log with an error row for each wanted company of which nothing landed.
+
+    ``wanted(name, fetcher)``: catalogue entries that the run should have read. An entry
+    without a fetcher can't land anything and says so.
+    """
+    landed = log.select(F.col("company").alias("name")).distinct()
+    silent = wanted.join(landed, "name", "left_anti")
+    unset = F.coalesce("fetcher", F.lit("")) == ""
+    reason = F.when(unset, "no fetcher configured").otherwise("nothing landed")
+    rows = silent.select(
+        run_ts.alias("run_ts"), F.col("name").alias("company"), "fetcher", F.lit(False).alias("ok"),
+        company_error(F.col("name"), F.coalesce("fetcher", F.lit("-")), reason).alias("error"),
+        F.lit(0).cast("bigint").alias("n_postings"),
+    )
+    return log.unionByName(rows)

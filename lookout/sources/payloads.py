@@ -26,7 +26,9 @@ class Source:
     fields: Callable[[Column, Callable[[str], Column]], Fields]
     company: str | None = None          # literal company name, else the catalogue's
     id_required: bool = False
-    max_pages: int = 1
+    max_pages: int | None = None        # cap on pages read; what lies beyond is reported
+    paged: bool = False                 # a failed, empty or last page ends the pages
+    has_markup: bool = True
     page_size: int | None = None
     total: Callable[[Column], Column] | None = None
     dedupe: bool = False
@@ -123,7 +125,7 @@ register(Source(
     schema="total BIGINT, jobPostings ARRAY<STRUCT<bulletFields: ARRAY<STRING>, "
            "externalPath: STRING, title: STRING, locationsText: STRING, postedOn: STRING>>",
     items=lambda p: p["jobPostings"],
-    max_pages=5,
+    paged=True,
     page_size=20,
     total=lambda p: p["total"],
     dedupe=True,
@@ -147,7 +149,7 @@ register(Source(
            "location: STRUCT<city: STRING, region: STRING, country: STRING>, ref: STRING, "
            "postingUrl: STRING, releasedDate: STRING>>",
     items=lambda p: p["content"],
-    max_pages=5,
+    paged=True,
     page_size=100,
     total=lambda p: p["totalFound"],
     fields=lambda j, c: {
@@ -174,7 +176,7 @@ register(Source(
            "Id: STRING, RequisitionId: STRING, Title: STRING, PrimaryLocation: STRING, "
            "PostedDate: STRING>>>>",
     items=lambda p: F.get(p["items"], F.lit(0))["requisitionList"],
-    max_pages=8,
+    paged=True,
     page_size=25,
     total=lambda p: F.get(p["items"], F.lit(0))["TotalJobsCount"],
     uses_catalogue=True,
@@ -214,7 +216,7 @@ register(Source(
     company="Google",
     schema=f"jobs {_GOOGLE}, results {_GOOGLE}",
     items=lambda p: _either(p["jobs"], p["results"]),
-    max_pages=5,
+    paged=True,
     fields=lambda j, c: {
         "job_id": first_non_empty(j["id"], j["job_id"]),
         "title": j["title"],
@@ -233,7 +235,7 @@ register(Source(
            "title: STRING, primaryLocation: STRING, postingDate: STRING, "
            "properties: STRUCT<locations: ARRAY<STRING>, description: STRING>>>>>",
     items=lambda p: p["operationResult"]["result"]["jobs"],
-    max_pages=5,
+    paged=True,
     fields=lambda j, c: {
         "job_id": j["jobId"],
         "title": j["title"],
@@ -255,7 +257,7 @@ register(Source(
     company="Apple",
     schema=f"searchResults {_APPLE}, res STRUCT<searchResults: {_APPLE}>",
     items=lambda p: _either(p["searchResults"], p["res"]["searchResults"]),
-    max_pages=5,
+    paged=True,
     fields=lambda j, c: {
         "job_id": first_non_empty(j["positionId"], j["id"]),
         "title": first_non_empty(j["postingTitle"], j["title"]),
@@ -292,7 +294,7 @@ register(Source(
            "title: STRING, location: STRING, city: STRING, apply_url: STRING, "
            "description: STRING, open_date: STRING>>>>",
     items=lambda p: p["hits"]["hits"],
-    max_pages=4,
+    paged=True,
     fields=lambda j, c: {
         "job_id": first_non_empty(j["_source"]["id"], j["_id"]),
         "title": j["_source"]["title"],

@@ -83,8 +83,8 @@ class Workspace:
         base = self.read_batch("seen_base", newest)
         return base.select(*SEEN_COLUMNS).unionByName(later.select(*SEEN_COLUMNS))
 
-    def compact_seen(self, batch_id: int, n: int) -> None:
-        """Rewrite the seen keys up to a batch as one base with the newest ``n``."""
+    def compact_seen(self, batch_id: int, n: int | None = None) -> None:
+        """Rewrite the seen keys up to a batch as one base: all, or the newest ``n``."""
         self.write_snapshot(retain(self.seen(batch_id + 1), n), "seen_base", batch_id)
 
     def _read(self, path: str, schema: str) -> DataFrame:

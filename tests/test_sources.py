@@ -232,9 +232,13 @@ def test_page_prefix_cap_and_term_dedup(spark, companies):
     ids = {n: [x[-1] for x in sorted(v)] for n, v in out.items()}
     assert ids == {
         "total": ["a", "b"], "fail": ["a"], "hole": ["a"], "no total": ["a"],
-        "terms": ["a", "b", "d", "c"], "capped": [f"p{p}" for p in range(5)],
-        "two pages": ["p0", "p1"], "G": ["0", "1", "2", "3", "4"], "A": ["0"],
+        "terms": ["a", "b", "d", "c"], "capped": [f"p{p}" for p in range(7)],
+        "two pages": ["p0", "p1"], "G": ["0", "1", "2", "3", "4", "5"], "A": ["0", "1", "2"],
     }
+    # A cap is the catalogue's, and what lies beyond it is reported.
+    beyond = [(r.catalog_name, r.page_no) for r in landing.quarantine(parsed).collect() if r.problem == landing.BEYOND_CAP]
+    assert sorted(beyond) == [("two pages", 2), ("two pages", 3)]
+    assert {r.company for r in landing.run_log(parsed).collect() if not r.ok} == {"fail"}
     log = {r.company: r.ok for r in landing.run_log(parsed).collect()}
     assert [n for n, ok in log.items() if not ok] == ["fail"]
 
