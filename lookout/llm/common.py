@@ -10,11 +10,20 @@ from lookout.session import scratch_dir
 SPACES = " \t\n\x0b\x0c\r"
 
 
+# Shuffle files of a write go when it has ended, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` under the shared scratch folder and read it back: lineage ends there."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path, before = scratch_dir(spark, label), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def words(text: Column) -> Column:

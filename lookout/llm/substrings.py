@@ -176,27 +176,31 @@ def shared_windows(contexts: list[bytes], keys: list[int]) -> list[int]:
     return masks.tolist()
 
 
-def _shared(contexts: DataFrame) -> DataFrame:
+def _shared(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``key, c, mask`` of the windows that smaller documents have, too."""
-    contexts = stored(contexts, "substrings-contexts")
-    crowded = contexts.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("v")
-    few = contexts.join(crowded, "v", "left_anti")
-    shards = max(1, contexts.count() * 85 // SHARD_BYTES)
+    n = asked.groupBy("crowded").count().collect()
+    sizes = {r.crowded: r["count"] for r in n}
+    shards = max(1, sizes.get(False, 0) * 85 // SHARD_BYTES)
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         masks = shared_windows(rows["context"].map(bytes).tolist(), rows["key"].tolist())
         return pd.DataFrame({"key": rows["key"], "c": rows["c"], "mask": masks}).query("mask != 0")
 
-    sharded = few.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    out = sharded.groupBy("shard").applyInPandas(shard, "key long, c long, mask long")
-    # An anchor with very many contexts: its windows are keys themselves.
+    few = _contexts(texts, asked.where("not crowded")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards))).drop("v")
+    masks = few.groupBy("shard").applyInPandas(shard, "key long, c long, mask long")
+    if sizes.get(True):
+        masks = masks.union(_compared(_contexts(texts, asked.where("crowded"))))
+    return stored(masks, "substrings-masks")
+
+
+def _compared(contexts: DataFrame) -> DataFrame:
+    """The same for anchors with very many contexts: their windows are keys themselves."""
     at = F.explode(F.sequence(F.lit(0), F.length("context") - LENGTH))
-    many = contexts.join(crowded, "v").where(F.length("context") >= LENGTH).select("key", "c", "context", at.alias("at"))
+    many = contexts.where(F.length("context") >= LENGTH).select("key", "c", "context", at.alias("at"))
     many = many.select("key", "c", "at", F.substring("context", F.col("at") + 1, F.lit(LENGTH)).alias("w"))
     least = many.groupBy("w").agg(F.min("key").alias("least"))
     hit = lookup(many, least, ["w"], "inner").where("least < key")
-    masks = hit.groupBy("key", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
-    return out.union(masks)
+    return hit.groupBy("key", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
 def removed(text: bytes, gone: set[int], part: dict[int, int], powers: Powers) -> np.ndarray:
@@ -228,12 +232,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """
     texts = _texts(docs)
     asked = _found(texts, settled=False).repartition("v")
-    own = Window.partitionBy("v", "c")
-    of_anchor = Window.partitionBy("v")
-    asked = asked.withColumn("first", F.min("key").over(own)).withColumns({"low": F.min("c").over(of_anchor), "high": F.max("c").over(of_anchor)})
-    asked = asked.where("key > first or low < high").select("key", "c", (F.col("key") > F.col("first")).alias("gone"))
+    asked = asked.withColumn("gone", F.col("key") > F.min("key").over(Window.partitionBy("v", "c")))
+    # Contexts of an anchor: the rows that aren't gone, one for each.
+    asked = asked.withColumn("n", F.count(F.when(~F.col("gone"), 1)).over(Window.partitionBy("v")))
+    asked = asked.where("gone or n > 1").select("key", "c", "gone", (F.col("n") > CROWDED).alias("crowded"))
     asked = stored(asked, "substrings-asked")
-    masks = _shared(_contexts(texts, asked.where("not gone")))
+    masks = _shared(texts, asked.where("not gone"))
     answers = (
         asked.where("gone").select("key", "c", F.lit(-1).cast("long").alias("mask"))
         .union(_found(texts, settled=True).select("key", "c", F.lit(-1).cast("long")))
