@@ -25,9 +25,10 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
 # Bytes of contexts that a shard holds on average, and contexts of one anchor beyond which
-# its windows are compared by an aggregate over all of them instead.
+# it would fill a shard alone: its windows are compared by an aggregate instead.
+CONTEXT_BYTES = 2 * LENGTH - GRAM + 5
 SHARD_BYTES = 2 << 20
-CROWDED = 2000
+CROWDED = SHARD_BYTES // CONTEXT_BYTES
 NO_ID = (1 << 63) - 1
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -180,7 +181,7 @@ def _shared(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``key, c, mask`` of the windows that smaller documents have, too."""
     n = asked.groupBy("crowded").count().collect()
     sizes = {r.crowded: r["count"] for r in n}
-    shards = max(1, sizes.get(False, 0) * 85 // SHARD_BYTES)
+    shards = max(1, sizes.get(False, 0) * CONTEXT_BYTES // SHARD_BYTES)
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         masks = shared_windows(rows["context"].map(bytes).tolist(), rows["key"].tolist())
