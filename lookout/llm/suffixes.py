@@ -14,6 +14,9 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     n = len(s)
     if n < 3:
         return np.arange(n)[::-1].copy()
+    if s.max() < 1 << 16:
+        # Symbols of 16 bits sort by radix.
+        s = s.astype(np.uint16)
     smaller = _smaller(s)
     leftmost = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     first = _induce(s, smaller, leftmost)
