@@ -125,6 +125,16 @@ def _found(texts: DataFrame, settled: bool) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key long, v long, c long")
 
 
+def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Values of each list, by field where they are structs; a null list is empty."""
+    values = column.values
+    fields = values.flatten() if pa.types.is_struct(values.type) else [values]
+    fields = [f.to_numpy() for f in fields]
+    ends = column.offsets.to_numpy()
+    for a, b in zip(ends[:-1], ends[1:]):
+        yield tuple(f[a:b] for f in fields)
+
+
 def _contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``key, v, c, context`` for the contexts that a document is asked for."""
     wanted = asked.groupBy("key").agg(F.collect_set("c").alias("cs"))
@@ -133,12 +143,14 @@ def _contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
         powers = Powers()
         for batch in batches:
             rows = []
-            for key, text, cs in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "cs"))):
-                data, cs = text.encode(), set(cs)
-                for p, v, c in zip(*(x.tolist() for x in anchors(data, powers))):
-                    if c in cs:
-                        cs.discard(c)
-                        rows.append((key, v, c, data[max(p - SPAN + 1, 0) : p + LENGTH]))
+            keys, texts_of = (batch.column(c).to_pylist() for c in ("key", "text"))
+            for key, text, (cs,) in zip(keys, texts_of, _lists(batch.column("cs"))):
+                data = text.encode()
+                at, v, c = anchors(data, powers)
+                _, one = np.unique(c, return_index=True)
+                one = one[np.isin(c[one], cs)]
+                for p, vp, cp in zip(*(x[one].tolist() for x in (at, v, c))):
+                    rows.append((key, vp, cp, data[max(p - SPAN + 1, 0) : p + LENGTH]))
             columns = list(zip(*rows)) or [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=["key", "v", "c", "context"])
@@ -204,19 +216,28 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return hit.groupBy("key", "c").agg(F.expr("bit_or(shiftleft(1L, at))").alias("mask"))
 
 
-def removed(text: bytes, gone: set[int], part: dict[int, int], powers: Powers) -> np.ndarray:
-    """Which bytes lie in a window that a smaller document has."""
+def removed(text: bytes, answered: np.ndarray, masks: np.ndarray, powers: Powers) -> np.ndarray:
+    """Which bytes lie in a window that a smaller document has.
+
+    ``masks`` are of the contexts ``answered``; -1 stands for all windows of a context.
+    """
+    order = np.argsort(answered)
+    answered, masks = answered[order], masks[order]
+    fresh = np.flatnonzero(np.r_[True, answered[1:] != answered[:-1]])
+    answered, masks = answered[fresh], np.bitwise_or.reduceat(masks, fresh)
+    at, _, c = anchors(text, powers)
+    k = np.minimum(np.searchsorted(answered, c), len(answered) - 1)
+    hit = answered[k] == c
+    at, mask = at[hit], masks[k[hit]]
+    lo, whole = np.maximum(at - (SPAN - 1), 0), mask < 0
     step = np.zeros(len(text) + 1, np.int32)
-    for p, _, c in zip(*(x.tolist() for x in anchors(text, powers))):
-        lo = max(p - SPAN + 1, 0)
-        if c in gone:
-            step[lo] += 1
-            step[min(p + LENGTH, len(text))] -= 1
-        elif mask := part.get(c, 0):
-            for k in range(SPAN):
-                if mask >> k & 1:
-                    step[lo + k] += 1
-                    step[lo + k + LENGTH] -= 1
+    np.add.at(step, lo[whole], 1)
+    np.add.at(step, np.minimum(at[whole] + LENGTH, len(text)), -1)
+    lo, mask = lo[~whole], mask[~whole]
+    if len(lo):
+        row, window = np.nonzero((mask[:, None] >> np.arange(SPAN)) & 1)
+        np.add.at(step, lo[row] + window, 1)
+        np.add.at(step, lo[row] + window + LENGTH, -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -250,16 +271,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         powers = Powers()
         for batch in batches:
             rows = []
-            for doc, text, answer in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "answers"))):
+            docs_of, texts_of = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            for doc, text, (answered, found) in zip(docs_of, texts_of, _lists(batch.column("answers"))):
                 data, runs, lost = text.encode(), 0, 0
                 kept = data
-                if answer:
-                    gone = {a["c"] for a in answer if a["mask"] < 0}
-                    part: dict[int, int] = {}
-                    for a in answer:
-                        if a["mask"] > 0:
-                            part[a["c"]] = part.get(a["c"], 0) | a["mask"]
-                    out = removed(data, gone, part, powers)
+                if len(answered):
+                    out = removed(data, answered, found, powers)
                     lost = int(out.sum())
                     runs = int(out[:1].sum() + (out[1:] & ~out[:-1]).sum())
                     kept = np.frombuffer(data, np.uint8)[~out].tobytes()
