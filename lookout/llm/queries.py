@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lookout.llm import (
-    decontamination, language, mixing, pii, quality, secrets, simhash, site_quality, substrings, tokens,
+    decontamination, language, mixing, oracle, pii, quality, secrets, simhash, site_quality, substrings, tokens,
 )
 
 QUERIES = {
@@ -18,4 +18,4 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
 }
-SQL: dict[str, str] = {}
+SQL = oracle.SQL
