@@ -91,7 +91,9 @@ def train(scans: DataFrame, docs: DataFrame) -> list[float] | None:
         return None
     total = max(1, docs.count())
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(total)) < SAMPLE_DOCS).limit(2 * SAMPLE_DOCS)
+    # Copies count once and the order is by hash, so reruns learn from the same texts.
+    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(total)) < SAMPLE_DOCS).groupBy("text").agg(F.xxhash64("text").alias("h"))
+    chosen = chosen.orderBy("h", "text").limit(2 * SAMPLE_DOCS)
     ordinary = chosen.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_-]{4,}"), F.lit(0))).alias("v"))
     tables = []
     for counts in (_pairs(random), _pairs(ordinary)):
