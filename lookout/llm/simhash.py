@@ -108,13 +108,14 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return lookup(rows, named, ["fp"], "inner").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame) -> DataFrame:
+def one_per_group(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """Rows of ``docs`` that stay: of each group the document with the smallest doc_id.
 
+    ``groups(doc_id, component_id)`` are those within two bits unless given.
     Of rows that repeat a document, id and text, one stays. Rows without a doc_id can't
     be told from each other by the groups: they stay, one for each text.
     """
-    groups = near_groups(docs)
+    groups = near_groups(docs) if groups is None else groups
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").cast("string").alias("_key")).distinct()
     rows = packed(docs)
     text = F.xxhash64(F.col("_doc.text").cast("string"), F.col("_doc.text").isNull())
