@@ -49,12 +49,13 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(rows: DataFrame) -> DataFrame:
-    """Adds ``source_size, target, taken, passes, position`` to ``rows(doc_id, source, size, ...)``.
+    """Adds ``source_size, target, taken, passes, position, positions`` to ``rows(doc_id, source, size, ...)``.
 
     A source's documents stand in the order of the MD5 of their ids. Whole passes over
     the source and one pass that ends within it fill the target to the word below. The
     weight of a source at time t of 0 to 1 is linear, its integral quadratic, and the
-    inverse of that at the share of words before a document is the document's position.
+    inverse of that at the share of words before a document in a pass is its position in
+    that pass. ``positions`` has one for each pass, ``position`` is the first.
     Running sums go through sums by buckets of the order key, so a source with a third of
     all rows is summed in thousands of parts.
 
@@ -80,24 +81,34 @@ def mix(rows: DataFrame) -> DataFrame:
     placed = placed.withColumn("_whole", F.expr("coalesce(_demand div nullif(source_size, 0), 0)"))
     part = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("_demand") - F.col("_whole") * F.col("source_size") - F.col("_start")))
     slope = F.element_at(F.array(*[F.lit(s) for s in SLOPES]), F.col("weight"))
-    share = F.col("_start") / F.col("_demand")
-    position = 2 * share / (1 - slope + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
+
+    def position(start: Column) -> Column:
+        share = start / F.col("_demand")
+        return 2 * share / (1 - slope + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
+
+    every = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("passes") - 1), lambda k: position(k * F.col("source_size") + F.col("_start"))
+    )
     return (
         placed.withColumn("taken", F.col("_whole") * F.col("size") + part)
         .withColumn("passes", F.when(F.col("taken") > 0, F.col("_whole") + F.when(part > 0, 1).otherwise(0)).otherwise(0))
-        .withColumn("position", F.when(F.col("taken") > 0, position))
+        .withColumn("position", F.when(F.col("taken") > 0, position(F.col("_start"))))
+        .withColumn("positions", F.when(F.col("taken") > 0, every).otherwise(F.array().cast("array<double>")))
         .drop("_source", "_bucket", "_order", "_before", "_start", "_demand", "_whole", "rank", "weight")
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """All of ``docs`` with their part in the mix, in the order of training."""
+    """All of ``docs`` with their part in the mix, in the order of their first pass.
+
+    The later passes stand in ``positions``; ``training_order`` has a row for each.
+    """
     rows = packed(docs).select(
         "_doc", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").cast("string").alias("source"),
         size(F.col("_doc.text")).alias("size"),
     )
     out = mix(rows).orderBy(F.col("position").asc_nulls_last(), "doc_id")
-    added = ["size", "source_size", "target", "taken", "passes", "position"]
+    added = ["size", "source_size", "target", "taken", "passes", "position", "positions"]
     kept = [c for c in docs.columns if c.lower() not in added]
     return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in kept], *added)
 
@@ -108,3 +119,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "passes", "position").orderBy(
         F.col("position").asc_nulls_last(), "doc_id"
     )
+
+
+def training_order(rows: DataFrame) -> DataFrame:
+    """``doc_id, source, pass, words, position`` of ``rows(doc_id, source, size)``, sorted.
+
+    One row for each pass over a document, from 1; the last may take its first words only.
+    """
+    each = mix(rows).select("doc_id", "source", "size", "taken", F.posexplode("positions").alias("_k", "position"))
+    words_of = F.least(F.col("size"), F.col("taken") - F.col("_k") * F.col("size"))
+    out = each.select("doc_id", "source", (F.col("_k") + 1).alias("pass"), words_of.alias("words"), "position")
+    return out.orderBy("position", "doc_id", "pass")
+
+
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents(spark, sf_dir).select("doc_id", F.col("source").cast("string").alias("source"), size(F.col("text")).alias("size"))
+    return training_order(stored(rows, "mixing"))

@@ -11,6 +11,7 @@ QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_mixing": mixing.op4_mixing,
+    "op4_training_order": mixing.op4_training_order,
     "op5_language_id": language.op5_language_id,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_quality_classifier": site_quality.op7_quality_classifier,
