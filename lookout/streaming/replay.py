@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lookout.functions.text import dedup_key
@@ -13,15 +15,32 @@ from lookout.sources.state import Workspace
 from lookout.streaming import poll
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+# Parts that a table is landed in, at least, and the rows of a part, at most.
+PARTS = 4
+PART_ROWS = 5_000_000
+
+
+def _replay(spark: SparkSession, sf_dir: str, name: str, order: list[str], view: Callable[[DataFrame], DataFrame],
+            run: Callable[[DataFrame, int], None], root: str) -> None:
+    """Land a table, one file or a folder of them, part by part in order, and poll after each.
+
+    Every part is a micro-batch of one stream, so state goes from batch to batch.
+    """
+    rows = table(spark, sf_dir, name)
+    cut, landing = f"{root}/cut", f"{root}/landing"
+    n = max(PARTS, -(-rows.count() // PART_ROWS))
+    rows.repartitionByRange(n, *order).write.parquet(cut)
+    parts = sorted(spark.read.schema(rows.schema).parquet(cut).inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
+    for part in parts:
+        spark.read.schema(rows.schema).parquet(part).coalesce(1).write.mode("append").parquet(landing)
+        stream = view(spark.readStream.schema(rows.schema).parquet(landing))
+        poll.start(stream, run, f"{root}/checkpoint").awaitTermination()
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as a stream of postings; exact copies of one language alert once."""
     ws = Workspace(spark, scratch_dir(spark, "stream-alerts"))
-    docs = _stream(spark, sf_dir, "documents").select(
+    view = lambda docs: docs.select(
         F.col("lang").alias("company"),
         F.md5("text").alias("job_id"),
         F.substring_index("text", "\n", 1).alias("title"),
@@ -39,14 +58,14 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batch: DataFrame, batch_id: int) -> None:
         process_postings(ws, batch, PROSE, batch_id, dedupe_batch=True, retained=None)
 
-    poll.start(docs, run, f"{ws.root}/checkpoint").awaitTermination()
+    _replay(spark, sf_dir, "documents", ["doc_id"], view, run, ws.root)
     return ws.read("alerts").select("key", "company", "score")
 
 
 def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of run outcomes; the failure counters after the last batch."""
     ws = Workspace(spark, scratch_dir(spark, "stream-streak"))
-    log = _stream(spark, sf_dir, "events").select(
+    view = lambda log: log.select(
         F.col("user_id").cast("string").alias("company"),
         F.col("ts").cast("timestamp").alias("run_ts"),
         F.col("event_id").alias("run_id"),
@@ -54,5 +73,5 @@ def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("error"),
     )
     run = poll.failure_batch(ws, ("run_ts", "run_id"))
-    poll.start(log, run, f"{ws.root}/checkpoint").awaitTermination()
+    _replay(spark, sf_dir, "events", ["ts", "event_id"], view, run, ws.root)
     return ws.latest("company_failures").select("company", "count", "last_error")
