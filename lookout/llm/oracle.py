@@ -67,4 +67,29 @@ SQL = {
                coalesce(c.n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
     """,
+    "op13_lexical_search": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+            FROM documents),
+        stats AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+        tf AS (
+            SELECT doc_id, n, term, count(*)::BIGINT AS tf
+            FROM (SELECT doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * (SELECT n_docs FROM stats) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf GROUP BY term),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS term
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+        scored AS (
+            SELECT q.item_id, tf.doc_id,
+                   sum(weights.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.n * stats.n_docs) // stats.n_terms))))::BIGINT AS score
+            FROM q JOIN tf USING (term) JOIN weights USING (term), stats GROUP BY q.item_id, tf.doc_id),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+            FROM scored WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
 }
