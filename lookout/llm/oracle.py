@@ -67,6 +67,23 @@ SQL = {
                coalesce(c.n_hit, 0) > 0 AS contaminated
         FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
     """,
+    "op11_phrase_dedup": """
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        spread AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+        windows AS (
+            SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+        firsts AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos
+            FROM windows JOIN firsts USING (win) WHERE first_id < doc_id),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS line, count(*) AS n
+            FROM spread ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, (len(w.ws) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(kept.line, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)
+    """,
     "op13_lexical_search": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
