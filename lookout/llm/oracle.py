@@ -84,6 +84,40 @@ SQL = {
                sha256(coalesce(kept.line, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)
     """,
+    "op12_collocations": """
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+        grams AS (
+            SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase, count(*)::BIGINT AS f
+            FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k))
+            GROUP BY ALL),
+        totals AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE k = 1 GROUP BY lang),
+        candidates AS (
+            SELECT lang, k, phrase, f, string_split(phrase, ' ') AS ws FROM grams WHERE k > 1 AND f >= 10),
+        parts AS (
+            SELECT c.*, cut, array_to_string(ws[1:cut], ' ') AS head, array_to_string(ws[cut + 1:], ' ') AS tail
+            FROM (SELECT *, unnest(range(1, k)) AS cut FROM candidates) c),
+        scored AS (
+            SELECT c.lang, c.k, c.phrase, c.f AS a, c.cut, h.f AS l, t.f AS r,
+                   ((1000000::HUGEINT * c.f * c.f) // (h.f::HUGEINT * t.f))::BIGINT AS score
+            FROM parts c JOIN grams h ON h.lang = c.lang AND h.k = c.cut AND h.phrase = c.head
+                         JOIN grams t ON t.lang = c.lang AND t.k = c.k - c.cut AND t.phrase = c.tail),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inside AS (
+            SELECT lang, inner_, max(f) AS most
+            FROM (SELECT lang, f, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS inner_ FROM candidates WHERE k = 3)
+            GROUP BY ALL),
+        kept AS (
+            SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.inner_ = s.phrase AND s.k = 2
+            WHERE i.most IS NULL OR 100 * i.most < 50 * s.a),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC)::BIGINT AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
     "op13_lexical_search": """
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

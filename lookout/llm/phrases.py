@@ -80,14 +80,14 @@ class Chunk:
         self.segment = _mixed((total[end] - total[self.first]) * down[self.first] + size).view(np.int64)
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Words of the batch's texts in shares of about ``CHUNK_BYTES``, with each share's first row."""
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Words of the batch's texts in shares of about ``most`` bytes, with each share's first row."""
     share, size, at = [], 0, 0
     for text in batch.column("text").to_pylist():
         data = text.encode()
         share.append(data.split())
         size += len(data)
-        if size >= CHUNK_BYTES:
+        if size >= most:
             yield at, share
             share, size, at = [], 0, at + len(share)
     if share:
@@ -111,7 +111,7 @@ def _recurring(texts: DataFrame) -> DataFrame:
         hashes, powers = Hashes(), Powers()
         for batch in batches:
             keys = batch.column("key").to_numpy()
-            for at, share in _chunks(batch):
+            for at, share in _chunks(batch, CHUNK_BYTES):
                 c = Chunk(share, hashes, powers)
                 key = keys[at : at + len(share)][c.doc]
                 order = np.lexsort((key, c.anchor))
@@ -131,7 +131,7 @@ def _segments(texts: DataFrame) -> DataFrame:
         hashes, powers = Hashes(), Powers()
         for batch in batches:
             keys, ds = batch.column("key").to_numpy(), batch.column("d").to_numpy()
-            for at, share in _chunks(batch):
+            for at, share in _chunks(batch, CHUNK_BYTES):
                 c = Chunk(share, hashes, powers)
                 order = np.lexsort((c.segment, c.doc))
                 s, doc = c.segment[order], c.doc[order]
@@ -164,7 +164,7 @@ def _words_of(texts: DataFrame, segments: DataFrame) -> DataFrame:
         for batch in batches:
             keys = batch.column("key").to_numpy()
             (asked, last, crowded), row = _lists(batch.column("asked"))
-            for at, share in _chunks(batch):
+            for at, share in _chunks(batch, CHUNK_BYTES):
                 c = Chunk(share, hashes, powers)
                 mine = np.flatnonzero((row >= at) & (row < at + len(share)))
                 name = _named(row[mine] - at, asked[mine])
@@ -288,7 +288,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             docs_of = batch.column("doc_id")
             (asked, mask), row = _lists(batch.column("answers"))
-            for at, share in _chunks(batch):
+            for at, share in _chunks(batch, CHUNK_BYTES):
                 c = Chunk(share, hashes, powers)
                 mine = (row >= at) & (row < at + len(share))
                 gone = removed(c, row[mine] - at, asked[mine], mask[mine])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lookout.llm import (
-    decontamination, language, lexical_search, mixing, oracle, phrases, pii, quality, secrets, simhash, site_quality, substrings, tokens,
+    collocations, decontamination, language, lexical_search, mixing, oracle, phrases, pii, quality, secrets, simhash, site_quality, substrings, tokens,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontamination.op9_benchmark_decontamination,
     "op10_token_counts": tokens.op10_token_counts,
     "op11_phrase_dedup": phrases.op11_phrase_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 SQL = oracle.SQL
