@@ -11,12 +11,15 @@ past it, so that every occurrence of a phrase is found where it stands.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh64_intdigest
 
@@ -35,6 +38,7 @@ CROWDED = SHARD_BYTES // SEGMENT_BYTES
 # Text that a task hashes at a time, and words whose hashes it remembers.
 CHUNK_BYTES = 2 << 20
 REMEMBERED = 1 << 20
+FILTER_BITS = 1 << 25
 
 
 class Hashes(dict):
@@ -66,12 +70,11 @@ class Chunk:
         total = np.zeros(self.n + 1, np.uint64)
         np.cumsum(h * up[: self.n], out=total[1:])
         gram = _mixed((total[GRAM:] - total[:-GRAM]) * down[: self.n - GRAM + 1])
-        least, at = gram[:m].copy(), np.zeros(m, np.int64)
+        least, at = gram[:m].copy(), np.zeros(m, np.int8)
         for j in range(1, SPAN):
-            less = gram[j : j + m] < least
-            least[less] = gram[j : j + m][less]
-            at[less] = j
-        at = (at + np.arange(m))[inside]
+            np.copyto(at, j, where=gram[j : j + m] < least)
+            np.minimum(least, gram[j : j + m], out=least)
+        at = inside + at[inside]
         fresh = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (inside[1:] != inside[:-1] + 1)])
         self.first, self.last = inside[fresh], inside[np.r_[fresh[1:], len(inside)] - 1]
         self.doc, self.anchor = doc[self.first], gram[at[fresh]].view(np.int64)
@@ -124,18 +127,35 @@ def _recurring(texts: DataFrame) -> DataFrame:
     return found.groupBy("v").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("v")
 
 
-def _segments(texts: DataFrame) -> DataFrame:
-    """``d, key, v, c``: anchor and hash of every segment, once for each document and segment."""
+def _filter(anchors: DataFrame) -> np.ndarray:
+    """A bit for each recurring anchor's hash, in a fixed number of bits.
+
+    It saves most rows that the exact join would drop; where it is full, it passes all.
+    """
+    place = F.pmod(F.col("v"), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = anchors.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(np.uint8)
+
+
+def _segments(texts: DataFrame, recurring: Broadcast) -> DataFrame:
+    """``d, key, v, c``: anchor and hash of the segments, once for each document and segment.
+
+    Most of those whose anchor isn't recurring are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = Hashes(), Powers()
+        hashes, powers, bits = Hashes(), Powers(), recurring.value
         for batch in batches:
             keys, ds = batch.column("key").to_numpy(), batch.column("d").to_numpy()
             for at, share in _chunks(batch, CHUNK_BYTES):
                 c = Chunk(share, hashes, powers)
-                order = np.lexsort((c.segment, c.doc))
-                s, doc = c.segment[order], c.doc[order]
-                once = order[np.r_[True, (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])][: len(s)]]
+                place = c.anchor & (FILTER_BITS - 1)
+                passed = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                # Once for each document: its first of equal names.
+                once = passed[np.unique(_named(c.doc[passed], c.segment[passed]), return_index=True)[1]]
                 doc = at + c.doc[once]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ds[doc], keys[doc], c.anchor[once], c.segment[once])], names=["d", "key", "v", "c"])
 
@@ -195,12 +215,18 @@ class Phrases:
     document that holds it.
     """
 
-    def __init__(self, segments: list[list[bytes]], owner: list[int], last: list[int]):
+    def __init__(self, segments: list[list[bytes]], anchor: list[int], owner: list[int], last: list[int]):
         numbers: dict[bytes, int] = {}
-        self.lines = [tuple(numbers.setdefault(w, len(numbers)) for w in s) for s in segments]
+        for s in segments:
+            for w in s:
+                if w not in numbers:
+                    numbers[w] = len(numbers)
+        self.lines = [tuple(map(numbers.__getitem__, s)) for s in segments]
         windows: dict[tuple, tuple[int, int]] = {}
-        for line, o in zip(self.lines, owner):
-            for i in range(len(line) - WINDOW + 1):
+        beside = Counter(anchor)
+        for line, v, o in zip(self.lines, anchor, owner):
+            # A window has one anchor, so it can only stand in segments of the same.
+            for i in range(len(line) - WINDOW + 1 if beside[v] > 1 else 0):
                 w = line[i : i + WINDOW]
                 n, least = windows.get(w, (0, o))
                 windows[w] = n + 1, min(least, o)
@@ -230,7 +256,7 @@ def _located(segments: DataFrame, shards: int) -> DataFrame:
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         last = rows["last"].tolist()
-        found = Phrases([bytes(w).split() for w in rows["words"]], rows["owner"].tolist(), last)
+        found = Phrases([bytes(w).split() for w in rows["words"]], rows["v"].tolist(), rows["owner"].tolist(), last)
         least = list(map(found.least, found.lines))
         take = np.array([min(x) < k for x, k in zip(least, last)], bool)
         return pd.DataFrame({"v": rows["v"], "c": rows["c"], "least": pd.Series(least, rows.index, object)})[take]
@@ -254,7 +280,8 @@ def _compared(segments: DataFrame) -> DataFrame:
 def _answers(texts: DataFrame) -> DataFrame:
     """``d, answers``: the segments of a text that hold windows of smaller documents, as masks."""
     anchors = stored(_recurring(texts), "phrases-anchors")
-    rows = stored(lookup(_segments(texts), anchors, ["v"], "left_semi"), "phrases-segments")
+    bits = texts.sparkSession.sparkContext.broadcast(_filter(anchors))
+    rows = stored(lookup(_segments(texts, bits), anchors, ["v"], "left_semi"), "phrases-segments")
     owned = rows.groupBy("v", "c").agg(F.min("key").alias("owner"), F.min_by("d", "key").alias("d"), F.max("key").alias("last"))
     owned = stored(owned, "phrases-owned")
     crowded = owned.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).select("v", F.lit(1).alias("crowded"))
@@ -289,18 +316,21 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             docs_of = batch.column("doc_id")
             (asked, mask), row = _lists(batch.column("answers"))
             for at, share in _chunks(batch, CHUNK_BYTES):
-                c = Chunk(share, hashes, powers)
                 mine = (row >= at) & (row < at + len(share))
-                gone = removed(c, row[mine] - at, asked[mine], mask[mine])
-                kept, lost = [], []
-                for words, a, b in zip(share, c.ends[:-1].tolist(), c.ends[1:].tolist()):
+                # Only texts with answers are hashed again.
+                some, number = np.unique(row[mine] - at, return_inverse=True)
+                c = Chunk([share[k] for k in some], hashes, powers)
+                gone = removed(c, number, asked[mine], mask[mine])
+                lost = [0] * len(share)
+                kept = list(map(b" ".join, share))
+                for k, a, b in zip(some.tolist(), c.ends[:-1].tolist(), c.ends[1:].tolist()):
                     out = gone[a:b]
-                    lost.append(int(out.sum()))
-                    kept.append(b" ".join([w for w, x in zip(words, out.tolist()) if not x] if lost[-1] else words))
-                digests = [hashlib.sha256(k).hexdigest() for k in kept]
+                    lost[k] = int(out.sum())
+                    kept[k] = b" ".join(compress(share[k], (~out).tolist()))
                 columns = [
-                    docs_of.slice(at, len(share)), pa.array(np.diff(c.ends), pa.int64()), pa.array(lost, pa.int64()),
-                    pa.array(digests), pa.array([k.decode() for k in kept], pa.string()),
+                    docs_of.slice(at, len(share)), pa.array(list(map(len, share)), pa.int64()), pa.array(lost, pa.int64()),
+                    pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
+                    pa.array(kept, pa.binary()).cast(pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
