@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 from collections.abc import Callable
+from string import Formatter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,13 +35,19 @@ OTHER_ENTITY = (
 )
 
 # Layout of one alert and of the run summary.
-ALERT_PARTS = (
-    "\U0001f6a8 <b>", "</b>\n\U0001f3e2 ", "\n\U0001f4cd ", "\n⭐ score: ",
-    '\n\U0001f517 <a href="', '">Apply</a>',
-)
+ALERT = """🚨 <b>{title}</b>
+🏢 {company}
+📍 {location}
+⭐ score: {score}
+🔗 <a href="{url}">Apply</a>"""
 NO_LOCATION = "—"
-SUMMARY_PARTS = ("\U0001f4ca Run summary\nFetched: ", "\nNew: ", "\nAlerted: ")
-ERRORS_HEAD = "\n\n⚠️ Errors:\n"
+SUMMARY = """📊 Run summary
+Fetched: {fetched}
+New: {new}
+Alerted: {alerted}
+
+⚠️ Errors:
+{errors}"""
 ERROR_BULLET = "• "
 
 
@@ -102,6 +109,14 @@ def escape_html(value: Column | str) -> Column:
     return text
 
 
+def filled(template: str, **values: Column) -> Column:
+    """The template with a column in each of its named places."""
+    pieces = []
+    for plain, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(plain)] + ([values[name]] if name else [])
+    return F.concat(*pieces)
+
+
 def alert_text(
     title: Column | str = "title",
     company: Column | str = "company",
@@ -109,27 +124,24 @@ def alert_text(
     score: Column | str = "score",
     url: Column | str = "url",
 ) -> Column:
-    values = (
-        escape_html(title),
-        escape_html(company),
-        F.coalesce(F.nullif(escape_html(location), F.lit("")), F.lit(NO_LOCATION)),
-        as_column(score).cast("string"),
-        escape_html(url),
+    return filled(
+        ALERT,
+        title=escape_html(title),
+        company=escape_html(company),
+        location=F.coalesce(F.nullif(escape_html(location), F.lit("")), F.lit(NO_LOCATION)),
+        score=as_column(score).cast("string"),
+        url=escape_html(url),
     )
-    pieces = [F.lit(ALERT_PARTS[0])]
-    for value, part in zip(values, ALERT_PARTS[1:]):
-        pieces += [value, F.lit(part)]
-    return F.concat(*pieces)
 
 
 def summary_text(fetched: Column, new: Column, alerted: Column, errors: Column) -> Column:
     """Run summary with the given error texts; null when there is no error."""
-    pieces = []
-    for part, value in zip(SUMMARY_PARTS, (fetched, new, alerted)):
-        pieces += [F.lit(part), value.cast("string")]
     bullets = F.transform(errors, lambda e: F.concat(F.lit(ERROR_BULLET), escape_html(e)))
-    pieces += [F.lit(ERRORS_HEAD), F.array_join(bullets, "\n")]
-    return F.when(F.size(errors) > 0, F.concat(*pieces))
+    counts = {"fetched": fetched, "new": new, "alerted": alerted}
+    text = filled(
+        SUMMARY, errors=F.array_join(bullets, "\n"), **{k: v.cast("string") for k, v in counts.items()}
+    )
+    return F.when(F.size(errors) > 0, text)
 
 
 def company_error(name: Column, fetcher: Column, problem: Column) -> Column:

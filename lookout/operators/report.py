@@ -30,12 +30,17 @@ def alert_rows(passed: DataFrame) -> DataFrame:
 
 
 def seen_per_company(seen: DataFrame) -> DataFrame:
-    """Keys per company; a key without a colon belongs to none."""
-    return (
-        seen.filter(F.contains("key", F.lit(":")))
-        .groupBy(key_company().alias("company"))
-        .agg(F.count("*").alias("tracked"))
-    )
+    """Keys per catalogue entry.
+
+    A posting's company may differ from its entry's name, and a name may hold a colon, so
+    the entry is read from ``catalog_name``. Rows without it, of an older seen table, count
+    for the key's part before its first colon; a key without a colon belongs to none.
+    """
+    entry = F.when(F.contains("key", F.lit(":")), key_company())
+    if "catalog_name" in seen.columns:
+        entry = F.coalesce("catalog_name", entry)
+    counted = seen.groupBy(entry.alias("company")).agg(F.count("*").alias("tracked"))
+    return counted.filter(F.col("company").isNotNull())
 
 
 def catalogue_totals(companies: DataFrame, seen: DataFrame) -> DataFrame:
@@ -74,6 +79,15 @@ def health(companies: DataFrame, failures: DataFrame, seen: DataFrame,
     )
 
 
+def disabled(companies: DataFrame) -> DataFrame:
+    """The entries that are switched off, as rows of the report."""
+    off = companies.filter(~F.coalesce("enabled", F.lit(True)))
+    return off.select(
+        "name", F.lit(0).alias("failures"), F.lit(0).cast("bigint").alias("tracked"),
+        F.lit(None).cast("string").alias("last_error"), F.lit("disabled").alias("status"),
+    )
+
+
 def health_sections(report: DataFrame) -> DataFrame:
     return report.groupBy("status").agg(
         F.count("*").alias("companies"), F.sum("tracked").alias("tracked")

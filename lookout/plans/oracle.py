@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-from lookout.functions.text import ALERT_PARTS, ERROR_BULLET, ERRORS_HEAD, NO_LOCATION, SUMMARY_PARTS
 from lookout.operators.rules import Profile
 from lookout.plans.payload_queries import PAYLOADS, expected_sql
 from lookout.plans.profiles import POLITE, PROSE, ROBOTICS
@@ -155,7 +154,6 @@ def retained(first_seen: str) -> str:
 
 
 def summary() -> str:
-    text = " || ".join(f"{q(part)} || {col}" for part, col in zip(SUMMARY_PARTS, ("fetched", "new", "matched")))
     line = escaped("company || ' (error): ' || error")
     return f"""WITH {NEW_PASSED}, {STREAK.split('tails AS')[0].rstrip().rstrip(',')},
   failed AS (SELECT *, row_number() OVER (ORDER BY run_ts, run_id) AS rn FROM runs WHERE NOT ok),
@@ -163,15 +161,20 @@ def summary() -> str:
     SELECT (SELECT count(*) FROM documents) AS fetched,
            (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS new,
            (SELECT count(*) FROM fresh) AS matched, (SELECT count(*) FROM failed) AS errors,
-           (SELECT string_agg({q(ERROR_BULLET)} || {line}, chr(10) ORDER BY rn) FROM failed WHERE rn <= 10) AS lines)
-  SELECT fetched, new, matched, errors, {text} || {q(ERRORS_HEAD)} || lines AS text FROM counted"""
+           (SELECT string_agg('• ' || {line}, chr(10) ORDER BY rn) FROM failed WHERE rn <= 10) AS lines)
+  SELECT fetched, new, matched, errors,
+         '📊 Run summary' || chr(10) || 'Fetched: ' || fetched || chr(10) || 'New: ' || new || chr(10)
+         || 'Alerted: ' || matched || chr(10) || chr(10) || '⚠️ Errors:' || chr(10) || lines AS text
+  FROM counted"""
 
 
 def alert() -> str:
-    values = (escaped("title"), escaped("company"),
-              f"coalesce(nullif({escaped('location')}, ''), {q(NO_LOCATION)})", "score", escaped("url"))
-    text = q(ALERT_PARTS[0]) + "".join(f" || {v} || {q(p)}" for v, p in zip(values, ALERT_PARTS[1:]))
-    return f"WITH {PASSED} SELECT key, company, title, score, {text} AS text FROM passed"
+    place = f"coalesce(nullif({escaped('location')}, ''), '—')"
+    return f"""WITH {PASSED} SELECT key, company, title, score,
+      '🚨 <b>' || {escaped('title')} || '</b>' || chr(10) || '🏢 ' || {escaped('company')} || chr(10)
+      || '📍 ' || {place} || chr(10) || '⭐ score: ' || score || chr(10)
+      || '🔗 <a href="' || {escaped('url')} || '">Apply</a>' AS text
+      FROM passed"""
 
 
 VERIFY = (f"{POSTINGS}, {scored_ctes(PROSE)}, "
@@ -279,4 +282,12 @@ SQL: dict[str, str] = {
     "stream_alerts": f"""WITH {PASSED} SELECT DISTINCT location || ':' || md5(description) AS key,
         location AS company, score FROM passed""",
     "stream_streak": f"WITH {STREAK} SELECT company, count, last_error FROM streak WHERE count > 0",
+    "stream_streak_keyed": f"WITH {STREAK} SELECT company, count, last_error FROM streak WHERE count > 0",
+    "stream_first_keys": f"WITH {COPIES} SELECT DISTINCT key, company FROM copies",
+    # Documents land in four equal ranges of their ids, each one batch.
+    "stream_metrics": f"""WITH {POSTINGS}, {scored_ctes(PROSE)},
+      ends AS (SELECT min(doc_id) AS lo, -(-(max(doc_id) - min(doc_id) + 1) // 4) AS w FROM documents),
+      parts AS (SELECT (doc_id - lo) // greatest(w, 1) AS part, reject_reason IS NULL AS passes FROM scored, ends)
+      SELECT row_number() OVER (ORDER BY part) - 1 AS batch_id, count(*) AS n_input, count(*) AS scored,
+             count(*) FILTER (WHERE passes) AS matched FROM parts GROUP BY part""",
 }

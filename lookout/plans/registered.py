@@ -124,12 +124,12 @@ def seen_upsert(spark, d):
     return seen.mark_seen(
         _seen_before(spark, d, p), p, views.instant(views.RUN_TS),
         F.col("location") == "en", [F.col("doc_id")],
-    )
+    ).drop("catalog_name")
 
 
 def seed_state(spark, d):
     p = views.copies(spark, d)
-    return seen.seed(_seen_before(spark, d, p), p, views.instant(views.RUN_TS), [F.col("doc_id")])
+    return seen.seed(_seen_before(spark, d, p), p, views.instant(views.RUN_TS), [F.col("doc_id")]).drop("catalog_name")
 
 
 def retain_newest(spark, d):
@@ -403,4 +403,7 @@ QUERIES: dict[str, Query] = {
     "enabled_companies": enabled_companies,
     "stream_alerts": replay.stream_alerts,
     "stream_streak": replay.stream_streak,
+    "stream_streak_keyed": replay.stream_streak_keyed,
+    "stream_first_keys": replay.stream_first_keys,
+    "stream_metrics": replay.stream_metrics,
 }

@@ -15,6 +15,9 @@ from lookout.sources.state import Workspace
 
 # Batches between two snapshots of the seen table.
 COMPACT_EVERY = 16
+# The seen keys of a batch's buckets are first cut down to the batch's own where they are
+# so many times its rows.
+LARGE = 8
 ARRIVAL = ("run_ts", "catalog_name", "term_idx", "page_no", "pos")
 
 
@@ -32,7 +35,10 @@ def process_postings(ws: Workspace, postings: DataFrame, profile: Profile, batch
     one snapshot; only ``retained`` evicts keys, and an evicted key alerts again.
     """
     postings = seen.with_key(postings)
-    fresh = seen.new_postings(postings, ws.seen(batch_id), dedupe_batch, _arrival())
+    known = ws.seen(batch_id, seen.buckets_of(postings))
+    # Both counts read few columns; that of the seen keys reads file footers only.
+    large = known.count() > LARGE * postings.count()
+    fresh = seen.new_postings(postings, known, dedupe_batch, _arrival(), large)
     if seed:
         marks = seen.first_marks(fresh, F.col("run_ts"), F.lit(False), _arrival())
     else:
@@ -41,7 +47,7 @@ def process_postings(ws: Workspace, postings: DataFrame, profile: Profile, batch
         passed = scored.filter("passes").orderBy(*report.alert_order())
         ws.write(report.alert_rows(passed), "alerts", batch_id)
         marks = seen.first_marks(scored, F.col("run_ts"), F.col("passes"), _arrival())
-    ws.write(marks, "seen", batch_id)
+    ws.write_seen(marks, batch_id)
     # The count reads file footers only.
     full = retained is not None and ws.seen(batch_id + 1).count() > retained
     if full or (compact_every and (batch_id + 1) % compact_every == 0):
@@ -107,12 +113,10 @@ def verify(raw: DataFrame, companies: DataFrame, name: str, profile: Profile, sh
 
 def health(ws: Workspace, companies: DataFrame,
            threshold: int = failures.SKIP_THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Catalogue totals and the health of every enabled company."""
+    """Catalogue totals and the health of every company; ``disabled`` ones by name only."""
     known = ws.seen()
-    return (
-        report.catalogue_totals(companies, known),
-        report.health(companies, ws.latest("company_failures"), known, threshold),
-    )
+    enabled = report.health(companies, ws.latest("company_failures"), known, threshold)
+    return report.catalogue_totals(companies, known), enabled.unionByName(report.disabled(companies))
 
 
 Batch = Callable[[DataFrame, int], None]

@@ -24,13 +24,22 @@ PROFILES = (
     "locations ARRAY<STRING>, min_score INT, require_location_match BOOLEAN"
 )
 
-SEEN = (
+# The first layout of the seen table; its folders are read on, without the later columns.
+SEEN_V1 = (
     "key STRING, company STRING, first_seen TIMESTAMP, title STRING, location STRING, "
     "url STRING, alerted BOOLEAN"
 )
 
+# ``company`` is the posting's, ``catalog_name`` that of the catalogue entry it came from.
+SEEN = SEEN_V1 + ", catalog_name STRING"
+
 FAILURES = "company STRING, count INT, last_error STRING, last_failed_at TIMESTAMP"
 
+# A counter as streaming state reports it.
+STREAKS = FAILURES + ", skipped BOOLEAN, probe BOOLEAN"
+
+METRICS = "query STRING, at STRING, n_input BIGINT, scored BIGINT, matched BIGINT"
+
 RUN_LOG = (
     "run_ts TIMESTAMP, company STRING, fetcher STRING, ok BOOLEAN, error STRING, "
     "n_postings BIGINT"

@@ -23,9 +23,11 @@ def landed(spark: SparkSession, path: str, schema: str = RAW, fmt: str = "parque
 
 
 def start(stream: DataFrame, run: Callable[[DataFrame, int], None], checkpoint: str,
-          interval: str | None = None) -> StreamingQuery:
+          interval: str | None = None, mode: str = "append", name: str | None = None) -> StreamingQuery:
     """Run a function on every micro-batch; without an interval, until all is read."""
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(run).outputMode(mode).option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
     if interval:
         return writer.trigger(processingTime=interval).start()
     return writer.trigger(availableNow=True).start()

@@ -2,45 +2,60 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from lookout.functions.text import dedup_key
+from lookout.operators import rules
 from lookout.plans.profiles import PROSE
 from lookout.plans.views import table
 from lookout.plans.watch import process_postings
 from lookout.session import scratch_dir
 from lookout.sources.state import Workspace
-from lookout.streaming import poll
+from lookout.streaming import keyed, poll
+from lookout.streaming.metrics import MetricsTable
 
-
-# Parts that a table is landed in, at least, and the rows of a part, at most.
+# Parts that a table is landed in, at least, and the rows of a part, about.
 PARTS = 4
 PART_ROWS = 5_000_000
 
 
-def _replay(spark: SparkSession, sf_dir: str, name: str, order: list[str], view: Callable[[DataFrame], DataFrame],
-            run: Callable[[DataFrame, int], None], root: str) -> None:
-    """Land a table, one file or a folder of them, part by part in order, and poll after each.
+def landed_parts(rows: DataFrame, at: Column, path: str) -> DataFrame:
+    """Land ``rows`` as one file for each equal range of ``at``, and stream them in that order.
 
-    Every part is a micro-batch of one stream, so state goes from batch to batch.
+    All parts are written at once, by as many tasks. A file source reads files by their
+    time of change, so the parts' times are set in the order of the parts; every part is
+    then one micro-batch, and state goes from batch to batch.
     """
-    rows = table(spark, sf_dir, name)
-    cut, landing = f"{root}/cut", f"{root}/landing"
-    n = max(PARTS, -(-rows.count() // PART_ROWS))
-    rows.repartitionByRange(n, *order).write.parquet(cut)
-    parts = sorted(spark.read.schema(rows.schema).parquet(cut).inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
-    for part in parts:
-        spark.read.schema(rows.schema).parquet(part).coalesce(1).write.mode("append").parquet(landing)
-        stream = view(spark.readStream.schema(rows.schema).parquet(landing))
-        poll.start(stream, run, f"{root}/checkpoint").awaitTermination()
+    spark = rows.sparkSession
+    size = rows.agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    n = max(PARTS, -(-size.n // PART_ROWS))
+    width = max(1, -(-((size.hi or 0) - (size.lo or 0) + 1) // n))
+    part = F.floor((at - F.lit(size.lo or 0)) / F.lit(width)).cast("int")
+    rows.withColumn("_part", part).repartition(n, "_part").write.partitionBy("_part").parquet(path)
+    files = spark.read.parquet(path).select("_part", F.input_file_name().alias("file")).distinct().collect() if size.n else []
+    _date(spark, [r.file for r in sorted(files, key=lambda r: r._part)])
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as a stream of postings; exact copies of one language alert once."""
-    ws = Workspace(spark, scratch_dir(spark, "stream-alerts"))
-    view = lambda docs: docs.select(
+def _date(spark: SparkSession, files: list[str]) -> None:
+    """Times of change a second apart; a store that keeps its own ends the replay."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    for k, name in enumerate(files):
+        file = path(jvm.java.net.URI(name))
+        fs, at = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), 1_600_000_000_000 + 1000 * k
+        fs.setTimes(file, at, -1)
+        if fs.getFileStatus(file).getModificationTime() != at:
+            raise RuntimeError(f"the store of {name} doesn't keep the order of the parts")
+
+
+def _documents(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    docs = landed_parts(table(spark, sf_dir, "documents"), F.col("doc_id"), f"{root}/landing")
+    return docs.select(
         F.col("lang").alias("company"),
         F.md5("text").alias("job_id"),
         F.substring_index("text", "\n", 1).alias("title"),
@@ -55,23 +70,78 @@ def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("pos"),
     ).withColumn("key", dedup_key())
 
+
+def _events(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    return landed_parts(events, at, f"{root}/landing").select(
+        F.col("user_id").cast("string").alias("company"),
+        F.col("ts").cast("timestamp").alias("run_ts"),
+        F.col("event_id").alias("run_id"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.col("props").alias("error"),
+    )
+
+
+ORDER = ("run_ts", "run_id")
+
+
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of postings; exact copies of one language alert once."""
+    ws = Workspace(spark, scratch_dir(spark, "stream-alerts"))
+
     def run(batch: DataFrame, batch_id: int) -> None:
         process_postings(ws, batch, PROSE, batch_id, dedupe_batch=True, retained=None)
 
-    _replay(spark, sf_dir, "documents", ["doc_id"], view, run, ws.root)
+    poll.start(_documents(spark, sf_dir, ws.root), run, f"{ws.root}/checkpoint").awaitTermination()
     return ws.read("alerts").select("key", "company", "score")
 
 
 def stream_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of run outcomes; the failure counters after the last batch."""
     ws = Workspace(spark, scratch_dir(spark, "stream-streak"))
-    view = lambda log: log.select(
-        F.col("user_id").cast("string").alias("company"),
-        F.col("ts").cast("timestamp").alias("run_ts"),
-        F.col("event_id").alias("run_id"),
-        (F.col("event_type") != "error").alias("ok"),
-        F.col("props").alias("error"),
-    )
-    run = poll.failure_batch(ws, ("run_ts", "run_id"))
-    _replay(spark, sf_dir, "events", ["ts", "event_id"], view, run, ws.root)
+    run = poll.failure_batch(ws, ORDER)
+    poll.start(_events(spark, sf_dir, ws.root), run, f"{ws.root}/checkpoint").awaitTermination()
     return ws.latest("company_failures").select("company", "count", "last_error")
+
+
+def stream_streak_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same counters, kept as keyed state in the stream itself."""
+    ws = Workspace(spark, scratch_dir(spark, "stream-keyed"))
+    log = _events(spark, sf_dir, ws.root)
+    keyed.watch_streaks(ws, log, f"{ws.root}/checkpoint", order=ORDER).awaitTermination()
+    return keyed.newest(ws).select("company", "count", "last_error")
+
+
+def stream_first_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first posting of every key, told by streaming state instead of a seen table."""
+    ws = Workspace(spark, scratch_dir(spark, "stream-first"))
+    keyed.use_rocksdb(spark)
+    first = poll.once_per_key(_documents(spark, sf_dir, ws.root).select("key", "company", "run_ts"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{ws.root}/first/batch_id={batch_id}")
+
+    poll.start(first, run, f"{ws.root}/checkpoint").awaitTermination()
+    return spark.read.schema("key STRING, company STRING").parquet(f"{ws.root}/first").select("key", "company")
+
+
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each micro-batch scored and passed, as its listener wrote them."""
+    ws = Workspace(spark, scratch_dir(spark, "stream-metrics"))
+    scored = poll.observed(rules.with_score(_documents(spark, sf_dir, ws.root), PROSE))
+    listened(ws, scored.filter("passes").select("key", "company", "score"), f"{ws.root}/checkpoint")
+    return ws.read("stream_metrics").select("batch_id", "n_input", "scored", "matched")
+
+
+def listened(ws: Workspace, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Run a stream to its end, its observed metrics to ``stream_metrics``."""
+    listener = MetricsTable(ws, f"metrics-{uuid.uuid4().hex}")
+    ws.spark.streams.addListener(listener)
+    try:
+        query = poll.start(stream, lambda batch, batch_id: ws.write_rows(batch, "matched", batch_id), checkpoint, name=listener.name)
+        query.awaitTermination()
+        listener.wait()
+    finally:
+        ws.spark.streams.removeListener(listener)
+    return query

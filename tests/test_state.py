@@ -21,7 +21,7 @@ def batch(spark, rows):
 
 def seen_table(spark, keys):
     return spark.createDataFrame(
-        [(k, k.split(":")[0], T0, "old", "l", "u", False) for k in keys], SEEN)
+        [(k, k.split(":")[0], T0, "old", "l", "u", False, None) for k in keys], SEEN)
 
 
 def keys(df):
@@ -184,7 +184,7 @@ def test_health(spark):
         [make(0, "a", None), make(1, "b", True), make(2, "c", True), make(3, "d", False)], COMPANIES)
     c = spark.createDataFrame([("b", 5, "e", T0), ("c", 6, "y" * 150, T0), ("gone", 9, "e", T0)], FAILURES)
     s = seen_table(spark, ["a:1", "a:2:3", "c:1"]).unionByName(
-        spark.createDataFrame([("nocolon", "x", T0, "t", "l", "u", False)], SEEN))
+        spark.createDataFrame([("nocolon", "x", T0, "t", "l", "u", False, None)], SEEN))
     out = {r.name: (r.status, r.failures, r.tracked, r.last_error)
            for r in report.health(companies, c, s).collect()}
     assert out == {"a": ("healthy", 0, 2, None), "b": ("recently_failing", 5, 0, None),

@@ -84,7 +84,7 @@ def test_three_runs(spark, companies, tmp_path):
     totals, report = watch.health(ws, companies, threshold=3)
     assert tuple(totals.first()) == (4, 3, 1, 7)
     status = {r.name: (r.status, r.tracked) for r in report.collect()}
-    assert status == {"Boards": ("healthy", 5), "Fleet": ("healthy", 2), "Broken": ("auto_disabled", 0)}
+    assert status == {"Boards": ("healthy", 5), "Fleet": ("healthy", 2), "Broken": ("auto_disabled", 0), "Off": ("disabled", 0)}
 
 
 def test_seed_then_watch(spark, companies, tmp_path):
