@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from lookout.operators.rules import Profile
-from lookout.plans.payload_queries import PAYLOADS, expected_sql
+from lookout.plans.payload_queries import PAGED_SQL, PAYLOADS, expected_sql
 from lookout.plans.profiles import POLITE, PROSE, ROBOTICS
 from lookout.plans.registered import TOXIC
 from lookout.plans.views import RUN_TS, SEEN_TS
@@ -279,6 +279,36 @@ SQL: dict[str, str] = {
          for name in PAYLOADS]
         + ["SELECT 'nobody', 'KeyError: No fetcher named ''nobody''', count(*) FROM part"]),
     "enabled_companies": f"WITH {CATALOGUE} SELECT name FROM catalogue WHERE enabled",
+    "paged_sources": PAGED_SQL,
+    "missing_companies": f"""
+        WITH landed AS (
+          SELECT p_brand AS company, count(*) FILTER (WHERE p_size <= 48) AS n, count(*) FILTER (WHERE p_size > 48) AS bad
+          FROM part GROUP BY p_brand),
+        wanted AS (
+          SELECT 'Brand#' || s_suppkey % 60 AS name, max(CASE WHEN s_suppkey % 3 > 0 THEN 'lever' END) AS fetcher
+          FROM supplier GROUP BY 1)
+        SELECT company, 'lever' AS fetcher, bad = 0 AS ok,
+               CASE WHEN bad > 0 THEN company || ' (lever): missing id' END AS error, n AS n_postings FROM landed
+        UNION ALL
+        SELECT name, fetcher, false,
+               CASE WHEN fetcher IS NULL THEN name || ': no fetcher specified'
+                    ELSE name || ' (lever): nothing landed' END, 0
+        FROM wanted WHERE name NOT IN (SELECT company FROM landed)""",
+    "health_by_catalogue": f"""
+        WITH {STREAK},
+        entries AS (
+          SELECT CASE WHEN c_custkey % 2 = 0 THEN 'team: ' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS name,
+                 coalesce(CASE WHEN c_mktsegment <> 'BUILDING' THEN c_acctbal > 0 END, true) AS enabled
+          FROM customer),
+        tracked AS (
+          SELECT CASE WHEN user_id % 2 = 0 THEN 'team: ' || user_id ELSE CAST(user_id AS VARCHAR) END AS name,
+                 count(*) AS n FROM events GROUP BY 1)
+        SELECT c.name, coalesce(s.count, 0) AS failures, coalesce(t.n, 0) AS tracked,
+               CASE WHEN s.count >= 2 THEN substr(coalesce(s.last_error, ''), 1, 100) END AS last_error,
+               CASE WHEN coalesce(s.count, 0) >= 2 THEN 'auto_disabled'
+                    WHEN coalesce(s.count, 0) > 0 THEN 'recently_failing' ELSE 'healthy' END AS status
+        FROM entries AS c LEFT JOIN streak AS s ON s.company = c.name LEFT JOIN tracked AS t USING (name) WHERE c.enabled
+        UNION ALL SELECT name, 0, 0, NULL, 'disabled' FROM entries WHERE NOT enabled""",
     "stream_alerts": f"""WITH {PASSED} SELECT DISTINCT location || ':' || md5(description) AS key,
         location AS company, score FROM passed""",
     "stream_streak": f"WITH {STREAK} SELECT company, count, last_error FROM streak WHERE count > 0",

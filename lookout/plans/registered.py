@@ -350,6 +350,43 @@ def quarantine(spark, d):
     return bad.groupBy("fetcher", "problem").agg(F.count("*").alias("rows"))
 
 
+def paged_sources(spark, d):
+    """Postings and problems of many pages, after pages are cut where their source stops."""
+    cap = F.when(F.col("name") == "Brand#11", 2).cast("int")
+    companies = views.brands(spark, d).withColumn("max_pages", cap)
+    pages = _written(landing.read_pages(views.paged_payloads(spark, d), companies), "pages")
+    rows = landing.settle(pages, landing.stops(pages)).filter("is_item OR problem IS NOT NULL")
+    return rows.select("fetcher", F.col("catalog_name").alias("company"), "term_idx", "page_no",
+                       F.when(F.col("is_item"), F.col("job_id")).alias("job_id"),
+                       F.when(F.col("is_item"), F.col("title")).alias("title"), "problem")
+
+
+def missing_companies(spark, d):
+    """The run log of a catalogue of which some entries landed nothing or have no fetcher."""
+    log = landing.run_log(landing.dispatch(views.payloads(spark, d, ["lever"]), views.brands(spark, d)))
+    some = views.table(spark, d, "supplier").select(
+        F.concat(F.lit("Brand#"), F.col("s_suppkey") % 60).alias("name"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.lit("lever")).alias("fetcher"),
+    )
+    wanted = topk.first_per_key(some, ["name"], [F.asc_nulls_last("fetcher")])
+    return landing.with_missing(log, wanted, views.instant(views.RUN_TS)).select("company", "fetcher", "ok", "error", "n_postings")
+
+
+def health_by_catalogue(spark, d):
+    """Health by catalogue entry: names with a colon, literal companies, and rows without an entry."""
+    name = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("team: "), "c_custkey")).otherwise(F.col("c_custkey").cast("string"))
+    companies = views.table(spark, d, "customer").select(
+        name.alias("name"), F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_acctbal") > 0).alias("enabled"))
+    user = F.col("user_id")
+    entry = F.when(user % 2 == 0, F.concat(F.lit("team: "), user)).when(F.col("event_type") != "view", user.cast("string"))
+    known = views.table(spark, d, "events").select(
+        F.concat_ws(":", F.when(user % 2 == 0, F.lit("Team")).otherwise(user.cast("string")), "event_id").alias("key"),
+        entry.alias("catalog_name"))
+    counters = _counters(spark, d)
+    full = report.health(companies, counters, known, threshold=2)
+    return full.unionByName(report.disabled(companies))
+
+
 def enabled_companies(spark, d):
     return landing.active(views.catalogue(spark, d)).select("name")
 
@@ -401,6 +438,9 @@ QUERIES: dict[str, Query] = {
     "dispatch_sources": dispatch_sources,
     "quarantine": quarantine,
     "enabled_companies": enabled_companies,
+    "paged_sources": paged_sources,
+    "missing_companies": missing_companies,
+    "health_by_catalogue": health_by_catalogue,
     "stream_alerts": replay.stream_alerts,
     "stream_streak": replay.stream_streak,
     "stream_streak_keyed": replay.stream_streak_keyed,

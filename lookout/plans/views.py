@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookout.functions.text import dedup_key
-from lookout.plans.payload_queries import PAYLOADS
+from lookout.plans.payload_queries import PAGED, PAYLOADS
 from lookout.session import configure
 
 RUN_TS = "2026-01-01 00:00:00"
@@ -101,6 +101,31 @@ def payloads(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -
     return reduce(DataFrame.union, frames)
 
 
+def paged_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the pages of four search terms per brand, some of them odd; see ``PAGED_SQL``."""
+    term, page = F.col("term_idx"), F.col("page_no")
+    parts = table(spark, sf_dir, "part").selectExpr(
+        "p_brand AS company", "CAST(p_partkey % 4 AS INT) AS term_idx", "CAST(p_partkey div 4 % 6 AS INT) AS page_no",
+        "struct(p_partkey AS k, p_name AS n, IF(p_size <= 48, p_partkey % 50, NULL) AS id) AS x",
+    )
+    pages = parts.groupBy("company", "term_idx", "page_no").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    empty = F.filter("xs", lambda x: F.lit(False))
+    pages = pages.withColumns({
+        "xs": F.when((term == 3) & (page == 1), empty).otherwise(F.col("xs")),
+        "pages": F.when(term == 0, 4).otherwise(10**6),
+        "status": F.when((term == 1) & (page == 3), "timeout").otherwise("ok"),
+    })
+    body = F.col("body")
+    frames = [
+        pages.select(
+            F.lit(name).alias("fetcher"), "company", "term_idx", "page_no", instant(RUN_TS).alias("run_ts"), "status",
+            F.expr(f"to_json({PAGED[name]})").alias("body"),
+        ).withColumn("body", F.when((term == 2) & (page == 2), F.substring(body, F.lit(1), F.length(body) - 3)).otherwise(body))
+        for name in PAGED
+    ]
+    return reduce(DataFrame.union, frames)
+
+
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One catalogue entry per brand, with the values the paged sources need."""
     return (

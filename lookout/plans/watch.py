@@ -59,19 +59,27 @@ def run_batch(ws: Workspace, raw: DataFrame, companies: DataFrame, profile: Prof
               dedupe_batch: bool = False, threshold: int = failures.SKIP_THRESHOLD,
               engine: str = "arrow", retained: int | None = None,
               compact_every: int | None = COMPACT_EVERY,
-              probe_after: datetime | None = None) -> DataFrame:
-    """One run over landed payloads; returns its summary row."""
+              probe_after: datetime | None = None, run_ts: datetime | None = None) -> DataFrame:
+    """One run over landed payloads; returns its summary row.
+
+    The run's time is the newest of its payloads; ``run_ts`` is that of a run of which
+    nothing landed.
+    """
     counters = ws.latest("company_failures", before=batch_id)
     choice = failures.with_skip(landing.active(companies), counters, threshold, None if probe_after is None else F.lit(probe_after))
     wanted = choice.filter(~F.col("skipped")).select(F.col("name").alias("company")).distinct()
+    at = raw.agg(F.max("run_ts")).first()[0] or run_ts
+    if at is None:
+        raise ValueError("nothing landed: the run's time has to be given")
     raw = lookup(raw, wanted, ["company"], "left_semi")
 
-    stops = ws.write(landing.page_stops(raw, companies), "page_stops", batch_id)
-    parsed = ws.write(landing.dispatch(raw, companies, stops), "parsed", batch_id)
+    pages = ws.write(landing.read_pages(raw, companies), "pages", batch_id)
+    stops = ws.write(landing.stops(pages), "page_stops", batch_id)
+    parsed = landing.settle(pages, stops)
     ws.write(landing.quarantine(parsed), "quarantine", batch_id)
-    log = landing.run_log(parsed)
-    at = F.lit(log.agg(F.max("run_ts")).first()[0] or datetime.now()).cast("timestamp")
-    log = landing.with_missing(log, choice.filter(~F.col("skipped")).select("name", "fetcher"), at)
+    log = landing.with_missing(
+        landing.run_log(parsed), choice.filter(~F.col("skipped")).select("name", "fetcher"), F.lit(at).cast("timestamp")
+    )
     log = ws.write(log, "run_log", batch_id)
     postings = landing.good_postings(parsed, strict)
     process_postings(ws, postings, profile, batch_id, seed=seed, dedupe_batch=dedupe_batch,
@@ -111,6 +119,18 @@ def verify(raw: DataFrame, companies: DataFrame, name: str, profile: Profile, sh
     return report.verdict_counts(scored), preview
 
 
+def outcome(raw: DataFrame, companies: DataFrame, name: str, run_ts: datetime) -> DataFrame:
+    """One row for a company: whether its pages could be read, the first error, the postings.
+
+    So a failed run and one that found nothing are told apart.
+    """
+    chosen = report.select_company(companies, name)
+    raw = raw.join(chosen.select(F.col("name").alias("company")), "company", "left_semi")
+    log = landing.run_log(landing.dispatch(raw, chosen, landing.page_stops(raw, chosen)))
+    log = landing.with_missing(log, chosen.select("name", "fetcher"), F.lit(run_ts).cast("timestamp"))
+    return log.select("company", "fetcher", "ok", "error", "n_postings")
+
+
 def health(ws: Workspace, companies: DataFrame,
            threshold: int = failures.SKIP_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Catalogue totals and the health of every company; ``disabled`` ones by name only."""

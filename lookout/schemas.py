@@ -52,6 +52,9 @@ PARSED = (
     "pos BIGINT, problem STRING, fatal BOOLEAN, is_item BOOLEAN, " + POSTINGS
 )
 
+# The same before the pages are cut; ``stop`` says that paging ends with this row's page.
+PAGES = PARSED + ", stop BOOLEAN"
+
 SCORED = (
     POSTINGS + ", catalog_name STRING, key STRING, run_ts TIMESTAMP, term_idx INT, page_no INT, pos BIGINT, "
     "score INT, passes BOOLEAN, reject_reason STRING"

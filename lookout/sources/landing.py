@@ -17,7 +17,7 @@ from lookout.operators.topk import first_per_key
 from lookout.sources.payloads import SOURCES, Source, available
 
 OK = "ok"
-GROUP = ["fetcher", "run_ts", "company", "term_idx"]
+GROUP = ["fetcher", "run_ts", "catalog_name", "term_idx"]
 # Problems of pages that are not read; a page beyond an agreed cap fails no run.
 NO_NUMBER, BEYOND_CAP = "missing page number", "beyond the page cap"
 CATALOGUE = ["host", "site", "public_url_base", "max_pages"]
@@ -68,20 +68,40 @@ def _item(source: Source, j: Column) -> Column:
 
 @cache
 def _page(source: Source) -> Column:
-    """The page's problem, or its items in canonical form."""
+    """The page's problem, or its items in canonical form, and whether paging stops here.
+
+    All three come from one parse of the body.
+    """
     def read(p: Column) -> Column:
         problem = _page_problem(source, p)
         items = F.transform(source.items(p), lambda j: _item(source, j))
-        return F.struct(problem.alias("problem"), F.when(problem.isNull(), items).alias("items"))
+        return F.struct(
+            problem.alias("problem"), F.when(problem.isNull(), items).alias("items"),
+            _is_stop(source, p).alias("stop"),
+        )
 
     return bound(_payload(source), read)
 
 
-def _groups() -> list[list[Source]]:
-    """Sources that can share one pass: same use of catalogue and deduplication."""
+def _is_stop(source: Source, p: Column) -> Column:
+    """A failed, malformed, empty or last page of a paged source."""
+    if not (source.paged or source.catalogue_cap):
+        return F.lit(False)
+    stop = _page_problem(source, p).isNotNull() | (F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0)
+    if source.total is not None:
+        reached = (F.col("page_no") + 1) * source.page_size
+        stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
+    return stop
+
+
+def _groups(settled: bool = False) -> list[list[Source]]:
+    """Sources that can share one pass: those that use the catalogue, and the others.
+
+    Where ids are settled in the same pass, those that need it go apart.
+    """
     groups: dict[tuple[bool, bool], list[Source]] = {}
     for source in SOURCES.values():
-        groups.setdefault((source.uses_catalogue, source.dedupe), []).append(source)
+        groups.setdefault((source.uses_catalogue, settled and source.dedupe), []).append(source)
     return list(groups.values())
 
 
@@ -131,42 +151,24 @@ def contiguous_prefix(pages: DataFrame, stops: DataFrame, group: list[str], orde
     )
 
 
-@cache
-def _is_stop(source: Source) -> Column:
-    def test(p: Column) -> Column:
-        stop = _page_problem(source, p).isNotNull() | (
-            F.coalesce(F.size(source.items(p)), F.lit(0)) <= 0
-        )
-        if source.total is not None:
-            reached = (F.col("page_no") + 1) * source.page_size
-            stop = stop | (reached >= F.coalesce(source.total(p), F.lit(0)))
-        return stop
+def stops(pages: DataFrame) -> DataFrame:
+    """Where the pages of a group stop, from ``read_pages`` as written: its bodies are parsed.
 
-    return bound(_payload(source), test)
+    Only the columns of the place are read. A run writes this small table; read back, its
+    size is known to the planner, which then broadcasts it when it is small.
+    """
+    paged = [s.name for s in SOURCES.values() if s.paged or s.catalogue_cap]
+    read = F.col("problem").isNull() | ~F.col("problem").isin(NO_NUMBER, BEYOND_CAP)
+    return prefix_stops(pages.filter(F.col("fetcher").isin(paged) & read), GROUP, F.col("page_no"), F.col("stop"))
 
 
 def page_stops(raw: DataFrame, companies: DataFrame | None = None) -> DataFrame:
-    """Stops of all paged sources: a failed, malformed, empty or last page.
+    """The same straight from payloads, for one more parse of the bodies."""
+    return stops(read_pages(raw, companies))
 
-    A run writes this small table first. Read back, its size is known to the planner,
-    which then broadcasts it when it is small and leaves the bodies where they are.
-    """
-    parts = []
-    for sources in _groups():
-        paged = [s for s in sources if s.paged or s.catalogue_cap]
-        if paged:
-            pages = _pages(paged, raw, companies).filter(F.col("_unread").isNull())
-            parts.append(
-                prefix_stops(pages, GROUP, F.col("page_no"), _by_fetcher(paged, _is_stop))
-            )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
-           stops: DataFrame | None) -> DataFrame:
+
+def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None) -> DataFrame:
     pages = _pages(sources, raw, companies)
-    if stops is not None:
-        pages = contiguous_prefix(pages, stops, GROUP, F.col("page_no"))
     required = [s.name for s in sources if s.id_required]
     literal = _by_fetcher(sources, lambda s: F.lit(s.company).cast("string"))
     rows = (
@@ -175,6 +177,7 @@ def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
             "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
             F.coalesce(literal, "company").alias("company"),
             F.coalesce("_unread", "_page.problem").alias("_page_problem"),
+            F.coalesce("_page.stop", F.lit(False)).alias("stop"),
             F.posexplode_outer("_page.items").alias("pos", "_item"),
         )
         .select("*", F.col("pos").isNotNull().alias("is_item"), "_item.*")
@@ -190,9 +193,7 @@ def _parse(sources: list[Source], raw: DataFrame, companies: DataFrame | None,
         rows = with_stripped_html(rows, "_html", "_text").withColumn(
             "description", first_non_empty(F.col("description"), F.col("_text"))
         )
-    if sources[0].dedupe:
-        rows = _first_of_each_id(rows)
-    return rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING)
+    return rows.select(*PLACE, "problem", "fatal", "is_item", *POSTING, "stop")
 
 
 def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | None = None,
@@ -201,7 +202,8 @@ def parse_source(source: Source | str, raw: DataFrame, companies: DataFrame | No
 
     ``problem`` is null for a good posting. ``fatal`` problems fail the company's run.
     """
-    return _parse([SOURCES[source] if isinstance(source, str) else source], raw, companies, stops)
+    source = SOURCES[source] if isinstance(source, str) else source
+    return settle(_parse([source], raw, companies), stops, [source])
 
 
 def _first_of_each_id(rows: DataFrame) -> DataFrame:
@@ -224,21 +226,42 @@ def _unknown(raw: DataFrame) -> DataFrame:
         "fetcher", F.col("company").alias("catalog_name"), "run_ts", "term_idx", "page_no",
         F.lit(None).cast("bigint").alias("pos"), problem.alias("problem"),
         F.lit(True).alias("fatal"), F.lit(False).alias("is_item"), "company",
-        *[empty.alias(c) for c in POSTING[1:]],
+        *[empty.alias(c) for c in POSTING[1:]], F.lit(False).alias("stop"),
     )
 
 
-def dispatch(raw: DataFrame, companies: DataFrame | None = None,
-             stops: DataFrame | None = None) -> DataFrame:
-    """Every payload row through the normaliser of its fetcher, as one frame.
+def read_pages(raw: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """Every payload row through the normaliser of its fetcher, before pages are cut.
 
-    Sources without catalogue values or deduplication share a single pass, in which
-    each row runs the branch of its own fetcher only.
+    Sources that need no catalogue values share one pass, in which each row runs the
+    branch of its own fetcher only; each body is parsed once.
     """
-    parts = [_parse(sources, raw, companies, stops) for sources in _groups()]
+    parts = [_parse(sources, raw, companies) for sources in _groups()]
     return reduce(DataFrame.unionByName, parts, _unknown(raw))
 
 
+def settle(pages: DataFrame, stops: DataFrame | None = None, sources: list[Source] | None = None) -> DataFrame:
+    """Pages cut where their group stops, and each id once where search terms overlap."""
+    if stops is not None:
+        pages = contiguous_prefix(pages, stops, GROUP, F.col("page_no"))
+    pages = pages.drop("stop")
+    sources = list(SOURCES.values()) if sources is None else sources
+    once = [s.name for s in sources if s.dedupe]
+    if not once:
+        return pages
+    if len(once) == len(sources):
+        return _first_of_each_id(pages).select(*pages.columns)
+    mine = F.coalesce(F.col("fetcher").isin(once), F.lit(False))
+    return pages.filter(~mine).unionByName(_first_of_each_id(pages.filter(mine)).select(*pages.columns))
+
+
+def dispatch(raw: DataFrame, companies: DataFrame | None = None,
+             stops: DataFrame | None = None) -> DataFrame:
+    """``read_pages``, settled: one row per landed item, and one per page that has none."""
+    parts = [settle(_parse(g, raw, companies), stops, g) for g in _groups(settled=True)]
+    return reduce(DataFrame.unionByName, parts, _unknown(raw).drop("stop"))
+
+
 def good_postings(parsed: DataFrame, strict: bool = False) -> DataFrame:
     """Postings without problems.
 
@@ -294,11 +317,9 @@ def with_missing(log: DataFrame, wanted: DataFrame, run_ts: Column) -> DataFrame
     """
     landed = log.select(F.col("company").alias("name")).distinct()
     silent = wanted.join(landed, "name", "left_anti")
-    unset = F.coalesce("fetcher", F.lit("")) == ""
-    reason = F.when(unset, "no fetcher configured").otherwise("nothing landed")
     rows = silent.select(
         run_ts.alias("run_ts"), F.col("name").alias("company"), "fetcher", F.lit(False).alias("ok"),
-        company_error(F.col("name"), F.coalesce("fetcher", F.lit("-")), reason).alias("error"),
+        company_error(F.col("name"), F.col("fetcher"), F.lit("nothing landed")).alias("error"),
         F.lit(0).cast("bigint").alias("n_postings"),
     )
     return log.unionByName(rows)

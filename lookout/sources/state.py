@@ -22,8 +22,8 @@ from lookout.operators.seen import BUCKETS, SEEN_COLUMNS, bucket, retain
 from lookout.sources import files
 
 TABLES = {
-    "page_stops": "fetcher STRING, run_ts TIMESTAMP, company STRING, term_idx INT, _stop INT",
-    "parsed": schemas.PARSED,
+    "page_stops": "fetcher STRING, run_ts TIMESTAMP, catalog_name STRING, term_idx INT, _stop INT",
+    "pages": schemas.PAGES,
     "quarantine": schemas.QUARANTINE,
     "run_log": schemas.RUN_LOG,
     "scored": schemas.SCORED,
@@ -40,7 +40,7 @@ TABLES = {
 
 
 # Tables that only the run of their batch reads.
-PASSING = ("pages", "page_stops", "parsed", "scored")
+PASSING = ("pages", "page_stops", "scored")
 
 
 class Workspace:

@@ -4,7 +4,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from lookout.schemas import COMPANIES, RAW
+from lookout.schemas import COMPANIES, PAGES, RAW
 from lookout.sources import landing
 from lookout.sources.payloads import SOURCES, Source, available, register
 
@@ -274,3 +274,36 @@ def test_body_is_parsed_once(spark, companies):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # One per source, and one for the text field that holds an array.
     assert plan.count("from_json(StructField") + plan.count("from_json(ArrayType") == len(CASES) + 1, plan
+
+
+def test_a_run_parses_each_body_once(spark, companies, tmp_path):
+    """The stops and the settled pages come from the written pages, without a further parse."""
+    rows = [("workday", "w", 0, p, "ok", wd(999, f"p{p}")) for p in range(3)] + [("google", "G", 0, 0, "timeout", None)]
+    pages = landing.read_pages(raw(spark, rows), companies)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(pages).count("from_json(StructField") + plan(pages).count("from_json(ArrayType") == len(CASES) + 1
+    pages.write.parquet(str(tmp_path / "pages"))
+    written = spark.read.schema(PAGES).parquet(str(tmp_path / "pages"))
+    stops = landing.stops(written)
+    parsed = landing.settle(written, stops)
+    for df in (stops, landing.quarantine(parsed), landing.run_log(parsed), landing.good_postings(parsed)):
+        assert "from_json" not in plan(df)
+    assert "description" not in plan(stops).split("Relation")[0]
+    assert landing.good_postings(parsed).count() == 3
+
+
+def test_literal_companies_stop_by_their_entry(spark, companies):
+    """Two entries of a source with a literal company name have pages of their own."""
+    rows = [("google", "one", 0, 0, "timeout", None), ("google", "one", 0, 1, "ok", {"jobs": [{"id": 1}]}),
+            ("google", "two", 0, 0, "ok", {"jobs": [{"id": 2}]}), ("google", "two", 0, 1, "ok", {"jobs": [{"id": 3}]})]
+    data = raw(spark, rows)
+    parsed = landing.dispatch(data, companies, landing.page_stops(data, companies))
+    assert sorted(r.job_id for r in landing.good_postings(parsed).collect()) == ["2", "3"]
+
+
+def test_entries_of_which_nothing_landed(spark, companies):
+    log = landing.run_log(landing.dispatch(raw(spark, [("greenhouse", "g", 0, 0, "ok", {"jobs": []})]), companies))
+    wanted = spark.createDataFrame([("g", "greenhouse"), ("a", "lever"), ("b", None), ("c", "")], "name STRING, fetcher STRING")
+    got = {r.company: (r.ok, r.error) for r in landing.with_missing(log, wanted, F.lit(TS)).collect()}
+    assert got == {"g": (True, None), "a": (False, "a (lever): nothing landed"),
+                   "b": (False, "b: no fetcher specified"), "c": (False, "c: no fetcher specified")}

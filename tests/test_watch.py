@@ -184,3 +184,22 @@ def test_read_config(spark, tmp_path):
         (0, "B", None, None), (1, "A", False, ["x", "y"])]
     assert companies.dtypes == spark.createDataFrame([], COMPANIES).dtypes
     assert SKIP_THRESHOLD == 6
+
+
+def test_a_failed_run_and_an_empty_one_are_told_apart(spark, companies):
+    rows = [*RUNS[0], ("workday", "Fleet", 0, 0, T0, "ok", json.dumps({"total": 0, "jobPostings": []}))][1:]
+    data = spark.createDataFrame([r for r in rows if r[1] != "Boards"][1:], RAW)
+    of = lambda n: tuple(watch.outcome(data, companies, n, T0).first())[2:]
+    assert of("broken") == (False, "Broken (greenhouse): failed page: HTTPError: 404", 0)
+    assert of("Fleet") == (True, None, 0)
+    assert of("Boards") == (False, "Boards (greenhouse): nothing landed", 0)
+
+
+def test_the_runs_time_is_that_of_its_payloads_or_the_callers(spark, companies, tmp_path):
+    ws = Workspace(spark, str(tmp_path))
+    nothing = spark.createDataFrame([], RAW)
+    with pytest.raises(ValueError):
+        watch.run_batch(ws, nothing, companies, ROBOTICS, 0)
+    given = T0 + timedelta(days=3)
+    watch.run_batch(ws, nothing, companies, ROBOTICS, 0, run_ts=given)
+    assert {r.at for r in ws.read("run_log").selectExpr("unix_seconds(run_ts) AS at").collect()} == {int(given.timestamp())}
