@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lookout.functions.text import alert_text, key_company, summary_text, truncate
 from lookout.operators.failures import SKIP_THRESHOLD
+from lookout.operators.topk import with_rank
 
 SHOWN_ERRORS = 10
 PREVIEW = 50
@@ -17,12 +18,8 @@ def alert_order() -> list[Column]:
 
 
 def ranked(passed: DataFrame) -> DataFrame:
-    """All alerts, best first.
-
-    A global sort samples its input before it shuffles. The exchange by key in front
-    keeps that from scoring every posting a second time.
-    """
-    return passed.repartition("key").orderBy(*alert_order())
+    """All alerts with their ``rank``, the best first."""
+    return with_rank(passed, alert_order())
 
 
 def alert_rows(passed: DataFrame) -> DataFrame:
@@ -95,7 +92,8 @@ def health_sections(report: DataFrame) -> DataFrame:
 
 
 def healthy_ranked(report: DataFrame) -> DataFrame:
-    return report.filter(F.col("status") == "healthy").orderBy(F.desc("tracked"), "name")
+    """Healthy companies with their ``rank`` by tracked keys."""
+    return with_rank(report.filter(F.col("status") == "healthy"), [F.desc("tracked"), F.asc("name")])
 
 
 def run_counters(postings: DataFrame, known: DataFrame, passed: DataFrame) -> DataFrame:

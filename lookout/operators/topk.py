@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import TimestampNTZType
 
-# Above this many kept rows per group, a group is first cut down in salted parts.
-PLAIN_LIMIT = 16
+from lookout.session import scratch_dir
+
+# Sets of input tasks within which a group is limited before it is limited as a whole.
 SALTS = 32
+# Rows that tie at the cut of a retention and are ordered one by one.
+TIED_ROWS = 10_000
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,14 +26,13 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows of every group.
 
-    For larger ``n`` the map-side limit alone would still send ``n`` rows per task
-    of a hot group to one place, so rows are limited within salted parts first.
+    Spark keeps ``n`` rows of a group in each input task before it shuffles them. So that
+    not all tasks' rows of a hot group meet in one place, a group is first limited within
+    sets of input tasks: a task belongs to one set, and sends no row twice.
     """
-    if n > PLAIN_LIMIT:
-        # A total hash of the row, so that a recomputed task salts alike.
-        simple = [c for c, t in df.dtypes if not t.startswith("map")]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*simple), F.lit(SALTS)))
-        df = _limit(salted, [*keys, "_salt"], order, n).drop("_salt")
+    if n > 1:
+        sets = df.withColumn("_salt", F.spark_partition_id() % SALTS)
+        df = _limit(sets, [*keys, "_salt"], order, n).drop("_salt")
     return _limit(df, keys, order, n)
 
 
@@ -62,57 +64,66 @@ def time_digits(df: DataFrame, column: str) -> list[Column]:
 def retain_newest(df: DataFrame, n: int, time: str = "first_seen", key: str = "key") -> DataFrame:
     """The ``n`` newest rows; rows of one instant are kept in order of md5(key), key.
 
-    No sort of the table and no single task that merges ``n`` rows per partition.
-    The rank order is read as digits with bounded ranges: hour, second, microsecond,
-    first bits of the hash. For each digit the rows that tie on the digits before are
-    counted per value, and the value where the count reaches ``n`` becomes the next
-    cut digit. Rows below the cut are kept; only rows that tie on all digits, one in
-    16384 of a single instant, are ranked one by one.
+    No sort of the table: one pass counts rows per hour and shows the hour of the cut. If
+    few rows tie there, they are ordered and the last one to stay is the cut; else the hour
+    is counted by second, by parts of the second and by the hash, each time only where the
+    cut lies. The table itself is then filtered by the cut, without a shuffle. Rows without
+    a time are the oldest; rows alike in time and key stay or go together.
     """
     if n <= 0:
         return df.limit(0)
-    # Newest first; a row without a time counts as the oldest.
-    digits = [F.coalesce(-d.cast("bigint"), F.lit(2**62)) for d in time_digits(df, time)]
-    bits = F.shiftright(F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("bigint"), 2)
-    names = ["_g0", "_g1", "_g2", "_g3"]
-    placed = df.select(*[d.alias(name) for d, name in zip([*digits, bits], names)])
-    last = _cut(placed, n, names).scalar()
-    at = F.struct(*[d.alias(name) for d, name in zip(digits, names)])
-    below = df.filter((at < last["at"]) | ((at == last["at"]) & (bits < last["bits"])))
-    tied = df.filter((at == last["at"]) & (bits == last["bits"]))
-    # Tied rows share the first hash digits, so this is one group.
-    w = Window.partitionBy(F.substring(F.md5(key), 1, 3)).orderBy(F.md5(key), key)
-    tied = tied.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= last["need"])
-    return below.unionByName(tied.drop("_rn"))
-
-
-def _cut(placed: DataFrame, n: int, names: list[str]) -> DataFrame:
-    """One row: the digits at which the count reaches ``n``, and how many rows to take
-    from those that tie on all of them."""
-    cut = None
-    for i, digit in enumerate(names):
-        prefix = names[:i]
-        if cut is None:
-            tied = placed.select(digit).withColumn("_need", F.lit(n).cast("bigint"))
-        else:
-            # One row by construction, hence the hint.
-            tied = placed.select(*prefix, digit).join(F.broadcast(cut), prefix)
-        counts = tied.groupBy(*prefix, "_need", digit).agg(F.count("*").alias("_n"))
-        w = Window.partitionBy(*prefix, "_need").orderBy(digit)
-        before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-        reached = (F.col("_before") < F.col("_need")) & (
-            F.col("_before") + F.col("_n") >= F.col("_need")
-        )
-        cut = (
-            counts.withColumn("_before", before)
-            .filter(reached)
-            .select(*prefix, digit, (F.col("_need") - F.col("_before")).alias("_need"))
-            .limit(1)
-        )
-    # Without a cut there are at most n rows, and all of them lie below the end.
-    end = F.struct(*[F.lit(2**63 - 1).alias(d) for d in names[:-1]])
-    return cut.agg(F.struct(
-        F.coalesce(F.max(F.struct(*names[:-1])), end).alias("at"),
-        F.max(names[-1]).alias("bits"),
-        F.max("_need").alias("need"),
-    ).alias("cut"))
+    hour, second, micro = time_digits(df, time)
+    hash_ = F.md5(key)
+    # Newest first, so the digits of the time count down.
+    times = [F.coalesce(-d.cast("bigint"), F.lit(2**62)) for d in (hour, second, F.floor(micro / 1000), micro % 1000)]
+    bits = [F.conv(F.substring(hash_, 1 + 4 * k, 4), 16, 10).cast("bigint") for k in range(2)]
+    digits, cut, need = [*times, *bits], [], n
+    for digit in digits:
+        counts = _tied(df, digits, cut).groupBy(digit.alias("digit")).count().collect()
+        counts = sorted((r.digit, r["count"]) for r in counts)
+        if not cut and sum(c for _, c in counts) <= n:
+            return df
+        for value, count in counts:
+            if count >= need:
+                break
+            need -= count
+        cut.append(value)
+        if count <= max(need, TIED_ROWS):
+            break
+    place = F.struct(*[d.alias(f"d{k}") for k, d in enumerate(digits[: len(cut)])])
+    at = F.struct(*[F.lit(v).cast("bigint").alias(f"d{k}") for k, v in enumerate(cut)])
+    if count == need:
+        return df.filter(place <= at)
+    # The rows that tie so far, in the whole order.
+    names = [f"t{k}" for k in range(len(times))]
+    whole = [*[t.alias(name) for t, name in zip(times, names)], hash_.alias("hash"), F.col(key).alias("key")]
+    last = _tied(df, digits, cut).select(*whole).orderBy(*names, "hash", "key").offset(need - 1).first()
+    end = F.struct(*[F.lit(last[c]).alias(c) for c in [*names, "hash", "key"]])
+    return df.filter((place < at) | ((place == at) & (F.struct(*whole) <= end)))
+
+
+def _tied(df: DataFrame, digits: list[Column], cut: list[int]) -> DataFrame:
+    for digit, value in zip(digits, cut):
+        df = df.filter(digit == value)
+    return df
+
+
+def with_rank(df: DataFrame, order: list[Column]) -> DataFrame:
+    """``df`` with its ``rank`` from 1 in a total order, without a task that sees all rows.
+
+    Rows are dealt by ranges of the order and written as sorted parts; the parts' sizes,
+    one row for each, added up say where a part begins. The exchange by all columns in
+    front keeps the sampling of the ranges from computing ``df`` a second time.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "ranked")
+    simple = [c for c, t in df.dtypes if "map<" not in t]
+    placed = df.repartition(*simple).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row per written part.
+    starts = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start")))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = placed.join(starts, "_part").withColumn("rank", F.col("_start") + place + 1)
+    return ranked.select(*df.columns, "rank")

@@ -181,7 +181,8 @@ VERIFY = (f"{POSTINGS}, {scored_ctes(PROSE)}, "
           "mine AS (SELECT *, reject_reason IS NULL AS passes FROM scored WHERE lower(company) = 'src3')")
 
 SQL: dict[str, str] = {
-    "ranked_new_alerts": f"WITH {NEW_PASSED} SELECT key, company, job_id, title, score FROM fresh",
+    "ranked_new_alerts": f"""WITH {NEW_PASSED} SELECT key, company, job_id, title, score,
+        row_number() OVER (ORDER BY score DESC, company, title, job_id) AS rank FROM fresh""",
     "preview_top_alerts": f"""WITH {NEW_PASSED}
         SELECT CAST(row_number() OVER (ORDER BY score DESC, company, title, job_id) AS INTEGER) AS rank, key, score
         FROM fresh QUALIFY rank <= 50""",
@@ -236,7 +237,8 @@ SQL: dict[str, str] = {
     "health_report": f"WITH {HEALTH} SELECT * FROM health",
     "health_sections": f"""WITH {HEALTH} SELECT status, count(*) AS companies,
         CAST(sum(tracked) AS BIGINT) AS tracked FROM health GROUP BY status""",
-    "healthy_ranked": f"WITH {HEALTH} SELECT name, tracked FROM health WHERE status = 'healthy'",
+    "healthy_ranked": f"""WITH {HEALTH} SELECT row_number() OVER (ORDER BY tracked DESC, name) AS rank, name, tracked
+        FROM health WHERE status = 'healthy'""",
     "health_totals": f"""WITH {CATALOGUE} SELECT count(*) AS companies, count(*) FILTER (WHERE enabled) AS enabled,
         count(*) FILTER (WHERE NOT enabled) AS disabled, (SELECT count(*) FROM events) AS seen FROM catalogue""",
     "seen_per_company": """SELECT event_type AS company, count(*) AS tracked FROM events

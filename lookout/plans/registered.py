@@ -225,7 +225,7 @@ def health_sections(spark, d):
 
 
 def healthy_ranked(spark, d):
-    return report.healthy_ranked(health_report(spark, d)).select("name", "tracked")
+    return report.healthy_ranked(health_report(spark, d)).select("rank", "name", "tracked")
 
 
 def health_totals(spark, d):

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where the split costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A limit per group is applied in the map tasks whatever its size.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     # Whole posting bodies travel in Arrow batches: bound the rows per batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
@@ -27,7 +29,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Without that setting it lies in the warehouse, which they share, too.
+    Without that setting it lies in the warehouse. One that is a folder of this machine is
+    only right where all executors are on it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:

@@ -22,9 +22,10 @@ def test_every_query_has_its_sql():
 
 def test_entry(spark):
     df = driver.entry(spark)
-    assert df.columns == ["key", "company", "job_id", "title", "score"]
-    scores = [r.score for r in df.collect()]
-    assert scores == sorted(scores, reverse=True) and scores
+    assert df.columns == ["key", "company", "job_id", "title", "score", "rank"]
+    rows = sorted(df.collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True) and rows
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

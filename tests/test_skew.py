@@ -2,6 +2,7 @@
 
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from lookout.operators import failures, seen, topk
@@ -94,9 +95,28 @@ def test_first_per_key_sends_one_row_per_task_and_key(spark):
     assert "Partial" in plan and "Final" in plan
 
 
-def test_top_100_salts_the_group(spark):
+@pytest.mark.parametrize("n", [3, 100, 1500])
+def test_top_n_sends_n_rows_per_task_and_group(spark, n):
     rows = spark.range(30_000).repartition(6).select((F.col("id") % 2).alias("k"), "id")
-    top = topk.top_per_group(rows, ["k"], [F.desc("id")], 100)
-    assert sorted(r.id for r in top.collect()) == list(range(29_800, 30_000))
-    plan = top._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(k" in plan and "_salt" in plan
+    top = topk.top_per_group(rows, ["k"], [F.desc("id")], n)
+    got, plan = executed(top)
+    assert sorted(r.id for r in got) == list(range(30_000 - 2 * n, 30_000))
+    # Limited in the input tasks and again after each of the two exchanges.
+    assert plan.split("Initial Plan")[-1].count("WindowGroupLimit") == 4 and "hashpartitioning(k" in plan and "_salt" in plan
+
+
+def test_ranks_split_a_hot_key(spark, tmp_path, monkeypatch):
+    """A third of the rows have one score and company; the ranges cut through them."""
+    n, path = 30_000, str(tmp_path / "ranked")
+    monkeypatch.setattr(topk, "scratch_dir", lambda session, label: path)
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}):
+        i = F.col("id")
+        rows = spark.range(n).repartition(4).select(hot(i).alias("score"), F.lit("c").alias("company"), F.sha2(i.cast("string"), 256).alias("title"), i.alias("job_id"))
+        order = [F.desc("score"), F.asc("company"), F.asc("title"), F.asc("job_id")]
+        got = topk.with_rank(rows, order).collect()
+        parts = spark.read.parquet(path).groupBy(F.shiftright("_at", 33)).count().collect()
+    path = str(tmp_path / "empty")
+    assert len(parts) == 8 and max(r["count"] for r in parts) < n / 4
+    want = sorted(got, key=lambda r: (-r.score, r.company, r.title, r.job_id))
+    assert [r["rank"] for r in want] == list(range(1, n + 1))
+    assert topk.with_rank(rows.limit(0), order).count() == 0

@@ -87,6 +87,19 @@ def test_hash_digits_split_one_instant(spark):
     assert keys(seen.retain(df, 1234)) == sorted(k for k, _ in want)
 
 
+@pytest.mark.parametrize("tied", [0, 3])
+def test_retention_counts_digits_only_where_rows_tie(spark, monkeypatch, tied):
+    """With few rows allowed to tie, all digits are counted, and the result is the same."""
+    monkeypatch.setattr(topk, "TIED_ROWS", tied)
+    times = [T0, T0 + timedelta(microseconds=1), T0 + timedelta(milliseconds=3), T0 + timedelta(seconds=2), None]
+    rows = [(f"k:{i}", times[i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key STRING, first_seen TIMESTAMP")
+    old = datetime(1900, 1, 1)
+    want = sorted(rows, key=lambda r: ((r[1] or old) - old, [255 - b for b in md5(r[0].encode()).digest()], r[0]), reverse=True)
+    for n in (1, 59, 60, 61, 130, 250, 299):
+        assert keys(seen.retain(df, n)) == sorted(k for k, _ in want[:n])
+
+
 # --- ranking --------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 3, 40])
