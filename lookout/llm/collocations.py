@@ -9,7 +9,6 @@ composing the automaton of all parts asked for with that of the counts, range by
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -21,20 +20,23 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from lookout.llm.common import documents, stored
+from lookout.llm.phrases import Powers, rows_of, words_of
 from lookout.operators.joins import lookup
 
 LEAST = 10
 BEST = 2000
 SHARE = 50
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-PIECE = re.compile(rb"[.,;:!?\x0a-\x0d]")
-# Words of a language that a task reads before it sorts them, paths it holds before it
-# passes its automata on, and words whose symbols it remembers.
-CHUNK_WORDS = 1 << 19
-HELD_PATHS = 4 << 20
-REMEMBERED = 1 << 20
+ENDS = b".,;:!?\n\x0b\x0c\r"
+GAPS = b" \t" + ENDS
+IS_END = np.zeros(256, bool)
+IS_END[list(ENDS)] = True
+# Text of a language that a task reads before it sorts its words, and paths it holds before
+# it passes its automata on.
+CHUNK_BYTES = 1 << 20
+HELD_PATHS = 1 << 20
 # Paths that a range of prefixes holds on average, texts whose n-grams show where to cut.
-RANGE_PATHS = 2 << 20
+RANGE_PATHS = 1 << 20
 SAMPLE_DOCS = 256
 # Bits of the filter of frequent paths. Its size is fixed: where it fills up it passes more,
 # and what passes wrongly is counted and dropped for its count.
@@ -141,26 +143,8 @@ def _run(have: np.ndarray, want: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return edges[0], edges[1]
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """Words of each piece of a text, A-Z lower-cased."""
-    return [p.split() for p in PIECE.split((text or "").encode().translate(LOWER))]
-
-
-class Symbols(dict):
-    """The symbol of each word, remembered; zero is the end of a lone word."""
-
-    def __init__(self, seed: int):
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = max(1, xxh64_intdigest(word, self.seed))
-        return h
-
-
-def lang_symbol(lang: str, seed: int) -> np.uint64:
-    return np.uint64(xxh64_intdigest(lang.encode(), seed))
+def lang_symbol(lang: str) -> np.uint64:
+    return np.uint64(xxh64_intdigest(lang.encode()))
 
 
 def filter_place(lang: np.uint64, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,29 +163,33 @@ class Shard:
     ``order`` 2 counts words and pairs, 3 the triples whose pairs both pass ``frequent``.
     """
 
-    def __init__(self, order: int, symbols: Symbols, frequent: np.ndarray | None, lang: str):
-        self.order, self.symbols, self.frequent = order, symbols, frequent
-        self.lang = lang_symbol(lang, symbols.seed)
-        self.words: list[bytes] = []
-        self.lengths: list[int] = []
+    def __init__(self, order: int, powers: Powers, frequent: np.ndarray | None, lang: str):
+        self.order, self.powers, self.frequent = order, powers, frequent
+        self.lang = lang_symbol(lang)
+        self.texts: list[bytes] = []
+        self.read = 0
         self.n = 0
         self.made: list[Automaton] = []
         self.spelled: dict[int, bytes] = {}
 
     def add(self, text: str | None):
-        for p in pieces(text):
-            if p:
-                self.words += p
-                self.lengths.append(len(p))
-        if len(self.words) >= CHUNK_WORDS:
+        if text:
+            self.texts.append(text.encode().translate(LOWER))
+            self.read += len(self.texts[-1])
+        if self.read >= CHUNK_BYTES:
             self.sort()
 
     def sort(self):
-        """One more automaton, of the words read since the last."""
-        if not self.words:
+        """One more automaton, of the texts read since the last."""
+        # The line feed between texts ends a piece.
+        data = b"\n".join(self.texts)
+        self.texts, self.read = [], 0
+        start, end, h = words_of(data, self.powers, GAPS)
+        if not len(h):
             return
-        s = np.fromiter(map(self.symbols.__getitem__, self.words), np.uint64, len(self.words))
-        piece = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        # Zero is the end of a lone word.
+        s = np.maximum(h, np.uint64(1))
+        piece = np.cumsum(IS_END[np.frombuffer(data, np.uint8)], dtype=np.int32)[start]
         pair = piece[1:] == piece[:-1]
         if self.order == 2:
             first = np.concatenate([s, s[:-1][pair]])
@@ -211,19 +199,19 @@ class Shard:
             pair &= in_filter(self.frequent, self.lang, s[:-1], s[1:])
             triple = pair[1:] & pair[:-1]
             columns = (s[:-2][triple], s[1:-1][triple], s[2:][triple])
-            self._spell(s)
+            symbols, at = np.unique(s, return_index=True)
+            self._spell(symbols, data, start[at], end[at])
         self.made.append(Automaton.of(columns, np.ones(len(columns[0]), np.int64)))
-        self.words, self.lengths = [], []
 
-    def _spell(self, s: np.ndarray):
+    def _spell(self, symbols: np.ndarray, data: bytes, start: np.ndarray, end: np.ndarray):
         """Keeps the words that may be frequent, to be read from their symbols later."""
-        symbols, at = np.unique(s, return_index=True)
         passed = in_filter(self.frequent, self.lang, symbols, np.zeros(len(symbols), np.uint64))
-        for h, k in zip(symbols[passed].tolist(), at[passed].tolist()):
-            self.spelled.setdefault(h, self.words[k])
+        for h, a, b in zip(symbols[passed].tolist(), start[passed].tolist(), end[passed].tolist()):
+            if h not in self.spelled:
+                self.spelled[h] = data[a:b]
 
     def held(self) -> int:
-        return len(self.words) + sum(len(a.weights) for a in self.made)
+        return self.read // 3 + sum(len(a.weights) for a in self.made)
 
     def automaton(self) -> Automaton:
         self.sort()
@@ -257,14 +245,14 @@ def counted(docs: DataFrame, order: int, seed: int, cuts: list[Cut], frequent: B
     """Automata of all n-grams, one row for each language, range of prefixes and flush of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, bits = Symbols(seed), None if frequent is None else frequent.value
+        powers, bits = Powers(seed), None if frequent is None else frequent.value
         shards: dict[str, Shard] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in rows_of(batch, "lang", "text"):
                 if lang not in shards:
-                    shards[lang] = Shard(order, symbols, bits, lang)
+                    shards[lang] = Shard(order, powers, bits, lang)
                 shards[lang].add(text)
-                if len(shards[lang].words) == 0 and sum(x.held() for x in shards.values()) >= HELD_PATHS:
+                if not shards[lang].texts and sum(x.held() for x in shards.values()) >= HELD_PATHS:
                     yield from _flushed(shards, cuts)
                     shards = {}
             # Many languages with few words each.
@@ -294,7 +282,7 @@ def _flushed(shards: dict[str, Shard], cuts: list[Cut]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=names)
 
 
-def united(blobs: DataFrame, order: int, seed: int) -> DataFrame:
+def united(blobs: DataFrame, order: int, ranges: int) -> DataFrame:
     """``at, lang, a, b, c, f, place``: the paths of weight ``LEAST`` or more, of all automata.
 
     A range's automata come one after another and are united as they come, so a task holds
@@ -307,19 +295,19 @@ def united(blobs: DataFrame, order: int, seed: int) -> DataFrame:
         columns = [c[take] for c in whole.paths()]
         zero = np.zeros(int(take.sum()), np.uint64)
         columns += [zero] * (3 - order)
-        place = filter_place(lang_symbol(lang, seed), columns[0], columns[1])
+        place = filter_place(lang_symbol(lang), columns[0], columns[1])
         out = [np.full(len(zero), at, np.int32), pa.array([lang] * len(zero), pa.string()), *(c.view(np.int64) for c in columns), whole.weights[take], place]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["at", "lang", "a", "b", "c", "f", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, size = None, [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                if now != (row["at"], row["lang"]):
+            for at, lang, *blobs in rows_of(batch, "at", "lang", "symbols", "fan", "weights"):
+                if now != (at, lang):
                     if held:
                         yield close(*now, held)
-                    now, held, size = (row["at"], row["lang"]), [], 0
-                held.append(Automaton.read(row["symbols"], row["fan"], row["weights"]))
+                    now, held, size = (at, lang), [], 0
+                held.append(Automaton.read(*blobs))
                 size += len(held[-1].weights)
                 if size >= HELD_PATHS and len(held) > 1:
                     held = [held[0].union(*held[1:])]
@@ -327,7 +315,7 @@ def united(blobs: DataFrame, order: int, seed: int) -> DataFrame:
         if held:
             yield close(*now, held)
 
-    dealt = blobs.select("at", "lang", "symbols", "fan", "weights").repartition("at").sortWithinPartitions("at", "lang")
+    dealt = blobs.select("at", "lang", "symbols", "fan", "weights").repartition(ranges, "at").sortWithinPartitions("at", "lang")
     return dealt.mapInArrow(run, "at int, lang string, a long, b long, c long, f long, place long")
 
 
@@ -340,14 +328,21 @@ def cuts_of(docs: DataFrame, order: int, seed: int, total: int, ranges: int, fre
         return []
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, total))) < SAMPLE_DOCS)
 
+    # Counted and listed by one Python worker: a second one beside it would hold as much.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, bits = Powers(seed), None if frequent is None else frequent.value
+        shards: dict[str, Shard] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                columns = Automaton.read(row["symbols"], row["fan"], row["weights"]).paths()
+            for lang, text in rows_of(batch, "lang", "text"):
+                shards.setdefault(lang, Shard(order, powers, bits, lang)).add(text)
+        for lang, shard in shards.items():
+            shard.sort()
+            if shard.made:
+                columns = shard.automaton().paths()
                 out = [c.view(np.int64) for c in columns] + [np.zeros(len(columns[0]), np.int64)] * (3 - order)
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(out[0]), pa.string()), *map(pa.array, out)], names=["lang", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out[0]), pa.string()), *map(pa.array, out)], names=["lang", "a", "b", "c"])
 
-    found = counted(chosen, order, seed, [], frequent).mapInArrow(run, "lang string, a long, b long, c long")
+    found = _narrow(chosen).mapInArrow(run, "lang string, a long, b long, c long")
     rows = found.orderBy(F.xxhash64("lang", "a", "b", "c")).limit(64 * ranges).collect()
     paths = sorted({(r.lang, *(x % (1 << 64) for x in (r.a, r.b, r.c)[:order])) for r in rows})
     return sorted({paths[len(paths) * k // ranges] for k in range(1, ranges)}) if paths else []
@@ -446,12 +441,12 @@ def mined(docs: DataFrame, seed: int = 0) -> DataFrame:
     ranges = 1 + (size.chars or 0) // (3 * RANGE_PATHS)
     cuts = cuts_of(docs, 2, seed, size.rows, ranges)
     blobs = stored(counted(docs, 2, seed, cuts), "collocations-pairs")
-    grams = stored(united(blobs, 2, seed), "collocations-frequent")
+    grams = stored(united(blobs, 2, ranges), "collocations-frequent")
     totals = stored(blobs.groupBy("lang").agg(F.sum("n").alias("n")), "collocations-totals")
 
     frequent = spark.sparkContext.broadcast(filter_of(grams))
     longer = stored(counted(docs, 3, seed, cuts_of(docs, 3, seed, size.rows, ranges, frequent), frequent), "collocations-triples")
-    triples = united(longer, 3, seed)
+    triples = united(longer, 3, ranges)
     spelled = longer.select(F.inline(F.arrays_zip(F.col("spelled").alias("s"), F.col("words").alias("w"))).alias("s", "w"))
     words = spelled.groupBy("s").agg(F.min("w").alias("w"), F.max("w").alias("_other"))
     words = stored(words, "collocations-words")

@@ -11,6 +11,7 @@ past it, so that every occurrence of a phrase is found where it stands.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import compress
@@ -21,10 +22,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from xxhash import xxh64_intdigest
 
 from lookout.llm.common import documents, stored
-from lookout.llm.substrings import MIX, NO_ID, Powers, _mixed
+from lookout.llm.substrings import MIX, NO_ID, ODD, _mixed
 from lookout.operators.joins import lookup
 
 WINDOW = 13
@@ -32,32 +32,62 @@ GRAM = 5
 SPAN = WINDOW - GRAM + 1
 # Bytes of segments that a shard holds on average, and of one segment with its columns. The
 # windows of an anchor whose segments alone would fill a shard are compared by an aggregate.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 SEGMENT_BYTES = 150
 CROWDED = SHARD_BYTES // SEGMENT_BYTES
-# Text that a task hashes at a time, and words whose hashes it remembers.
-CHUNK_BYTES = 2 << 20
-REMEMBERED = 1 << 20
+# Text whose segments a task looks for at a time, and whose words it hashes at a time.
+CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 17
+SPACES = b" \t\n\x0b\x0c\r"
 FILTER_BITS = 1 << 25
 
 
-class Hashes(dict):
-    """XXH64 of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
+class Powers:
+    """Powers of an odd number modulo 2^64 and of its inverse, as far as they are asked for."""
+
+    def __init__(self, seed: int = 0):
+        self.base = (int(ODD) + 2 * seed) % (1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            every = [np.full(n, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64))]
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), x], dtype=np.uint64) for x in every)
+        return self.up, self.down
+
+
+def words_of(data: bytes, powers: Powers, gaps: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words between ``gaps``, block by block; a block ends at a gap."""
+    is_gap, gap = np.zeros(256, bool), re.compile(b"[" + re.escape(gaps) + b"]")
+    is_gap[list(gaps)] = True
+    parts, at = [], 0
+    while at < len(data):
+        cut = gap.search(data, min(at + BLOCK_BYTES, len(data)))
+        end = cut.end() if cut else len(data)
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        word = np.concatenate([[False], ~is_gap[b], [False]])
+        first, last = np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
+        up, down = powers.to(len(b) + 1)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b + np.uint64(1)) * up[: len(b)], out=total[1:])
+        h = (total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * MIX
+        parts.append((first + at, last + at, _mixed(h)))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, zip(*parts)))
 
 
 class Chunk:
     """The words of some texts one after another, and the segments of their windows."""
 
-    def __init__(self, texts: list[list[bytes]], hashes: Hashes, powers: Powers):
-        self.ends = np.cumsum([0, *map(len, texts)])
-        self.n = int(self.ends[-1])
-        self.words = [w for t in texts for w in t]
+    def __init__(self, texts: list[bytes], powers: Powers):
+        self.data = b"\n".join(texts)
+        self.start, self.end, h = words_of(self.data, powers, SPACES)
+        self.n = len(h)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.ends = np.searchsorted(self.start, begin)
         doc = np.repeat(np.arange(len(texts)), np.diff(self.ends))
         m = self.n - WINDOW + 1
         inside = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :]) if m > 0 else np.zeros(0, np.int64)
@@ -65,7 +95,6 @@ class Chunk:
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.anchor = self.segment = np.zeros(0, np.int64)
             return
-        h = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, self.n)
         up, down = powers.to(self.n + 1)
         total = np.zeros(self.n + 1, np.uint64)
         np.cumsum(h * up[: self.n], out=total[1:])
@@ -83,12 +112,24 @@ class Chunk:
         self.segment = _mixed((total[end] - total[self.first]) * down[self.first] + size).view(np.int64)
 
 
-def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """Words of the batch's texts in shares of about ``most`` bytes, with each share's first row."""
+    def words(self, first: int, last: int) -> bytes:
+        """Those of the windows from ``first`` to ``last``, one space between them."""
+        return b" ".join(self.data[self.start[first] : self.end[last + WINDOW - 1]].split())
+
+
+def rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Values row by row; few of them are Python objects at a time, whatever the batch's size."""
+    for at in range(0, batch.num_rows, 64):
+        part = batch.slice(at, 64)
+        yield from zip(*(part.column(n).to_pylist() for n in names))
+
+
+def _chunks(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The batch's texts in shares of about ``most`` bytes, with each share's first row."""
     share, size, at = [], 0, 0
-    for text in batch.column("text").to_pylist():
+    for (text,) in rows_of(batch, "text"):
         data = text.encode()
-        share.append(data.split())
+        share.append(data)
         size += len(data)
         if size >= most:
             yield at, share
@@ -111,11 +152,11 @@ def _recurring(texts: DataFrame) -> DataFrame:
     """``v``: anchors that several documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = Hashes(), Powers()
+        powers = Powers()
         for batch in batches:
             keys = batch.column("key").to_numpy()
             for at, share in _chunks(batch, CHUNK_BYTES):
-                c = Chunk(share, hashes, powers)
+                c = Chunk(share, powers)
                 key = keys[at : at + len(share)][c.doc]
                 order = np.lexsort((key, c.anchor))
                 v, key = c.anchor[order], key[order]
@@ -147,11 +188,11 @@ def _segments(texts: DataFrame, recurring: Broadcast) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers, bits = Hashes(), Powers(), recurring.value
+        powers, bits = Powers(), recurring.value
         for batch in batches:
             keys, ds = batch.column("key").to_numpy(), batch.column("d").to_numpy()
             for at, share in _chunks(batch, CHUNK_BYTES):
-                c = Chunk(share, hashes, powers)
+                c = Chunk(share, powers)
                 place = c.anchor & (FILTER_BITS - 1)
                 passed = np.flatnonzero((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 # Once for each document: its first of equal names.
@@ -180,12 +221,12 @@ def _words_of(texts: DataFrame, segments: DataFrame) -> DataFrame:
     wanted = segments.groupBy("d").agg(F.collect_set(F.struct("c", "last", "crowded")).alias("asked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = Hashes(), Powers()
+        powers = Powers()
         for batch in batches:
             keys = batch.column("key").to_numpy()
             (asked, last, crowded), row = _lists(batch.column("asked"))
             for at, share in _chunks(batch, CHUNK_BYTES):
-                c = Chunk(share, hashes, powers)
+                c = Chunk(share, powers)
                 mine = np.flatnonzero((row >= at) & (row < at + len(share)))
                 name = _named(row[mine] - at, asked[mine])
                 mine, name = mine[np.argsort(name)], np.sort(name)
@@ -197,7 +238,7 @@ def _words_of(texts: DataFrame, segments: DataFrame) -> DataFrame:
                     one, place = one[met], mine[place[met]]
                 else:
                     one = place = one[:0]
-                words = [b" ".join(c.words[a:b]) for a, b in zip(c.first[one].tolist(), (c.last[one] + WINDOW).tolist())]
+                words = list(map(c.words, c.first[one].tolist(), c.last[one].tolist()))
                 columns = (c.anchor[one], c.segment[one], crowded[place], keys[at + c.doc[one]], last[place])
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(words, pa.binary())], names=["v", "c", "crowded", "owner", "last", "words"])
 
@@ -311,7 +352,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     answers = _answers(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = Hashes(), Powers()
+        powers = Powers()
         for batch in batches:
             docs_of = batch.column("doc_id")
             (asked, mask), row = _lists(batch.column("answers"))
@@ -319,16 +360,17 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 mine = (row >= at) & (row < at + len(share))
                 # Only texts with answers are hashed again.
                 some, number = np.unique(row[mine] - at, return_inverse=True)
-                c = Chunk([share[k] for k in some], hashes, powers)
+                c = Chunk([share[k] for k in some], powers)
                 gone = removed(c, number, asked[mine], mask[mine])
                 lost = [0] * len(share)
-                kept = list(map(b" ".join, share))
+                every = list(map(bytes.split, share))
+                kept = list(map(b" ".join, every))
                 for k, a, b in zip(some.tolist(), c.ends[:-1].tolist(), c.ends[1:].tolist()):
                     out = gone[a:b]
                     lost[k] = int(out.sum())
-                    kept[k] = b" ".join(compress(share[k], (~out).tolist()))
+                    kept[k] = b" ".join(compress(every[k], (~out).tolist()))
                 columns = [
-                    docs_of.slice(at, len(share)), pa.array(list(map(len, share)), pa.int64()), pa.array(lost, pa.int64()),
+                    docs_of.slice(at, len(share)), pa.array(list(map(len, every)), pa.int64()), pa.array(lost, pa.int64()),
                     pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                     pa.array(kept, pa.binary()).cast(pa.string()),
                 ]
