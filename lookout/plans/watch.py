@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lookout.operators import failures, report, rules, seen
 from lookout.operators.joins import lookup
 from lookout.operators.rules import Profile
+from lookout.schemas import PAGES
+from lookout.session import scratch_dir
 from lookout.sources import landing
 from lookout.sources.state import Workspace
 
@@ -108,12 +110,20 @@ def run_batch(ws: Workspace, raw: DataFrame, companies: DataFrame, profile: Prof
     return ws.write(summary, "run_summary", batch_id)
 
 
+def _settled(raw: DataFrame, companies: DataFrame) -> DataFrame:
+    """Parsed and settled pages outside a run: written once, so that each body is parsed once."""
+    spark, path = raw.sparkSession, scratch_dir(raw.sparkSession, "pages")
+    landing.read_pages(raw, companies).write.parquet(path)
+    pages = spark.read.schema(PAGES).parquet(path)
+    return landing.settle(pages, landing.stops(pages))
+
+
 def verify(raw: DataFrame, companies: DataFrame, name: str, profile: Profile, show: int = 10,
            passing_only: bool = False) -> tuple[DataFrame, DataFrame]:
     """Counts and first postings of one company, whatever was seen before."""
     chosen = report.select_company(companies, name)
     raw = raw.join(chosen.select(F.col("name").alias("company")), "company", "left_semi")
-    parsed = landing.dispatch(raw, chosen, landing.page_stops(raw, chosen))
+    parsed = _settled(raw, chosen)
     scored = rules.with_score(landing.good_postings(parsed), profile)
     preview = report.verification(scored, _arrival(), show, passing_only)
     return report.verdict_counts(scored), preview
@@ -126,7 +136,7 @@ def outcome(raw: DataFrame, companies: DataFrame, name: str, run_ts: datetime) -
     """
     chosen = report.select_company(companies, name)
     raw = raw.join(chosen.select(F.col("name").alias("company")), "company", "left_semi")
-    log = landing.run_log(landing.dispatch(raw, chosen, landing.page_stops(raw, chosen)))
+    log = landing.run_log(_settled(raw, chosen))
     log = landing.with_missing(log, chosen.select("name", "fetcher"), F.lit(run_ts).cast("timestamp"))
     return log.select("company", "fetcher", "ok", "error", "n_postings")
 
