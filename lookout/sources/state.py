@@ -99,7 +99,7 @@ class Workspace:
         self._write_buckets(marks, "seen_v2", batch_id)
 
     def _write_buckets(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        dealt = rows.select(*SEEN_COLUMNS, bucket().alias("bucket")).repartition(BUCKETS, "bucket")
+        dealt = rows.select(*SEEN_COLUMNS, bucket().alias("bucket")).repartition("bucket")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
     def seen(self, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
