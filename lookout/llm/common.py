@@ -26,6 +26,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``stored`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Array of the maximal runs without space characters; empty for null."""
     plain = F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES))

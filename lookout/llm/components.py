@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lookout.llm.common import stored
+from lookout.llm.common import discard, stored
 from lookout.operators.joins import lookup
 
 
@@ -18,7 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = stored(_down(edges), "components")
     seen = _digest(stars)
     while True:
-        stars = stored(_small(_large(stars)), "components")
+        before, stars = stars, stored(_small(_large(stars)), "components")
+        discard(before)
         now = _digest(stars)
         if now == seen:
             break

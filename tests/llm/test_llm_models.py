@@ -14,7 +14,8 @@ import corpus_pipeline
 from lookout.llm import quality, secrets, site_quality
 from lookout.llm.common import stored
 from lookout.llm.queries import QUERIES
-from test_llm_rows import brute_groups, brute_scan, given, in_order, odd, pairs  # noqa: F401
+from test_llm_rows import brute_scan, given, in_order, odd, pairs  # noqa: F401
+from test_llm_similar import brute_kept as brute_near
 
 
 def brute_statistics(text):
@@ -197,7 +198,7 @@ def test_pipeline_stages(spark, sf_dir, odd):
             assert all(abs(d - quality.CUT) > 0.01 for d in distance)
             assert ids == sorted(r.doc_id for r, y in zip(before, kept) if y)
         elif name == "near_duplicates":
-            assert ids == sorted({c for _, _, c in brute_groups(pairs(docs))})
+            assert ids == brute_near(pairs(docs))
         elif name == "decontaminated":
             assert ids == sorted(w[0] for w in brute_scan(pairs(docs), bench) if not w[5])
         else:
