@@ -204,9 +204,13 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, all columns as they were."""
-    rows = _prepared(docs)
-    found = estimates(stored(rows.drop("_doc"), "quality"))
+    """Rows of ``docs`` that the rules keep, all columns as they were.
+
+    Rows without text go; otherwise as in ``quality``. The statistics are worked out once
+    and written beside the documents.
+    """
+    rows = stored(_prepared(docs), "quality")
+    found = estimates(rows.drop("_doc"))
     return judged(rows, found).where("kept").select("_doc.*")
 
 

@@ -141,6 +141,40 @@ def test_markov_models_part_random_from_ordinary(spark):
     assert found == {"qX9vT3kLw8ZpRb2NyJ7c"}
 
 
+ORDINARY = [
+    "20240131000012345678", "4017950000000000", "INV-2024-000123", "+49-30-1234567", "running_text_of_document2", "thisDocumentStands",
+    "ORDINARY_RUNNING_TEXT", "these/words/stand/here", "====================", "__________", "otherwise-ordinary-words", "documentdocumentdocument",
+]
+
+
+def test_planted_random_strings_are_found_and_ordinary_ones_left(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    secret = ["".join(r.choices(a, k=n)) for a in (letters, letters + "0123456789") for n in (12, 20, 40) for _ in range(20)]
+    prose = "the other reason that these words stand here is the ordinary running text of this document since 2024 and 20231201 or 555-1234 "
+    rows = [(i, f"{prose}key {v} {prose}") for i, v in enumerate([*secret, *ORDINARY])]
+    # The labelled values: some of hex digits only, none, and one as long as a text.
+    values = [prose + "token=" + "".join(r.choices("0123456789abcdef", k=40)) for _ in range(15)]
+    for labelled in (values, [], [prose + "token=" + "".join(r.choices(letters, k=30_000))]):
+        docs = spark.createDataFrame(rows + [(1000 + i, t) for i, t in enumerate(labelled)], "doc_id long, text string")
+        docs = docs.union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 10000", "text"))
+        got = {x.doc_id: x.spans for x in secrets.scan(docs).collect()}
+        found = {i for i, t in rows if any(x.startswith("random") for x in got[i].split(","))}
+        assert all(got[i] == f"random:{len(prose) + 4}:{len(prose) + 4 + len(v)}" for i, v in enumerate(secret) if i in found)
+        assert len([i for i in found if i < len(secret) and len(secret[i]) == 12]) >= 0.9 * 40
+        assert len([i for i in found if i < len(secret) and len(secret[i]) > 12]) == 80
+        assert not [t for i, t in rows if i >= len(secret) and i in found]
+
+
+def test_no_number_counts_as_random(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = dict(pairs(docs))
+    for r in secrets.scan(docs).collect():
+        for s in r.spans.split(","):
+            if s.startswith("random"):
+                assert not text[r.doc_id][slice(*map(int, s.split(":")[1:]))].isdigit()
+
+
 def test_redaction(spark):
     docs = secret_docs(spark).withColumn("n_chars", F.length("text").cast("long")).withColumn("_found", F.lit("mine"))
     out = {r.doc_id: r for r in secrets.redacted(docs).collect()}
