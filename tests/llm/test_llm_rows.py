@@ -87,6 +87,18 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert all(got[i] == "phone:12:29" for i in range(600))
 
 
+def test_pii_planted_beyond_the_base(spark):
+    """Forms outside the base, close to those of the labels, are found beside real documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text")
+    private = ["call 1 (415) 555-2485 now", "tel 1 (089) 555-4821 now", "write anna.b [at] mail (dot) example now", "mail jo.smith at example dot com now"]
+    plain = ["order 20240131 of 2024", "version 10.4.2 and 7.1", "table 12 row 1234567 end", "see figure 3.14159265 there"]
+    planted = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*private, *plain])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.detect(docs.union(planted)).collect()}
+    assert [bool(got[-1 - i].spans) for i in range(8)] == [True] * 4 + [False] * 4
+    # The documents hold nothing beyond the base: nothing is added there.
+    assert all(r.spans.count(":") == 2 * (r.n_email + r.n_ip + r.n_card + r.n_phone) for d, r in got.items() if d is not None and d >= 0)
+
+
 def brute_fingerprint(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
