@@ -206,11 +206,12 @@ def quality(docs: DataFrame) -> DataFrame:
 def good(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the rules keep, all columns as they were.
 
-    Rows without text go; otherwise as in ``quality``. The statistics are worked out once
-    and written beside the documents.
+    Rows without text go; otherwise as in ``quality``. The statistics are worked out twice:
+    written beside the documents they would take as much disk as the documents, for as long
+    as the result isn't written.
     """
-    rows = stored(_prepared(docs), "quality")
-    found = estimates(rows.drop("_doc"))
+    rows = _prepared(docs)
+    found = estimates(stored(rows.drop("_doc"), "quality"))
     return judged(rows, found).where("kept").select("_doc.*")
 
 
