@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lookout.functions.text import dedup_key
@@ -21,24 +22,53 @@ from lookout.streaming.metrics import MetricsTable
 # Parts that a table is landed in, at least, and the rows of a part, about.
 PARTS = 4
 PART_ROWS = 5_000_000
+# Bytes of values in a file of a part, about: no task writes or reads much more.
+FILE_BYTES = 256 << 20
 
 
 def landed_parts(rows: DataFrame, at: Column, path: str) -> DataFrame:
-    """Land ``rows`` as one file for each equal range of ``at``, and stream them in that order.
+    """Land ``rows`` as files of equal ranges of ``at``, and stream these parts in that order.
 
-    All parts are written at once, by as many tasks. A file source reads files by their
-    time of change, so the parts' times are set in the order of the parts; every part is
-    then one micro-batch, and state goes from batch to batch.
+    All files are written at once, by as many tasks. A file source reads files by their
+    time of change, so their times are set in the order of the parts. Every part has as many
+    files as the largest needs, small ones some without rows; so many files are read at a
+    time, and every part is one micro-batch, and state goes from batch to batch.
     """
     spark = rows.sparkSession
     size = rows.agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     n = max(PARTS, -(-size.n // PART_ROWS))
     width = max(1, -(-((size.hi or 0) - (size.lo or 0) + 1) // n))
     part = F.floor((at - F.lit(size.lo or 0)) / F.lit(width)).cast("int")
-    rows.withColumn("_part", part).repartition(n, "_part").write.partitionBy("_part").parquet(path)
+    placed = rows.withColumn("_part", part)
+    wide = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in rows.dtypes]
+    held = placed.groupBy("_part").agg(F.sum(sum(wide, F.lit(0).cast("long"))).alias("bytes"))
+    each = max(1, -(-(held.agg(F.max("bytes")).first()[0] or 0) // FILE_BYTES))
+    # Rows are dealt to the files of their part in turn, whatever values they have.
+    file = F.pmod(F.monotonically_increasing_id(), F.lit(each)).cast("int")
+    placed.repartitionById(n * each, F.coalesce("_part", F.lit(0)) * each + file).write.partitionBy("_part").parquet(path)
     files = spark.read.parquet(path).select("_part", F.input_file_name().alias("file")).distinct().collect() if size.n else []
+    if each > 1:
+        files = files + _filled(rows.limit(0), path, [r._part for r in files], each)
     _date(spark, [r.file for r in sorted(files, key=lambda r: r._part)])
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
+
+
+def _filled(none: DataFrame, path: str, parts: list[int], each: int) -> list[Row]:
+    """Files without rows, copied to every part until it has ``each``."""
+    spark = none.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    none.coalesce(1).write.parquet(f"{path}-empty")
+    hadoop = jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(f"{path}-empty")
+    fs = folder.getFileSystem(conf)
+    empty = next(f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".parquet"))
+    made = []
+    for part, n in Counter(parts).items():
+        for k in range(n, each):
+            to = hadoop.Path(f"{path}/_part={part}/empty-{k}.parquet")
+            hadoop.FileUtil.copy(fs, empty, fs, to, False, conf)
+            made.append(Row(_part=part, file=fs.makeQualified(to).toUri().toString()))
+    return made
 
 
 def _date(spark: SparkSession, files: list[str]) -> None:

@@ -90,3 +90,16 @@ def test_parts_stream_in_order(spark, tmp_path, n):
     poll.start(stream, lambda b, k: seen.update({k: sorted(r.id for r in b.collect())}), str(tmp_path / "cp")).awaitTermination()
     flat = [i for k in sorted(seen) for i in seen[k]]
     assert flat == sorted(r.id for r in data.collect()) and len(seen) == (replay.PARTS if n == 50 else n)
+
+
+def test_a_large_part_is_several_files_and_one_batch(spark, tmp_path, monkeypatch):
+    """No file holds much more than FILE_BYTES, whatever part the rows lie in."""
+    monkeypatch.setattr(replay, "FILE_BYTES", 2000)
+    # The first part holds nearly all rows, with one value; the last one a single row.
+    data = spark.range(400).select(F.when(F.col("id") == 399, 1000).when(F.col("id") > 380, 500).otherwise(0).alias("id"), F.lit("x" * 92).alias("v"))
+    seen, path = {}, str(tmp_path / "landing")
+    stream = replay.landed_parts(data.repartition(3), F.col("id"), path)
+    files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+    assert len(files) >= 20 and max(r["count"] for r in files) <= 30
+    poll.start(stream, lambda b, k: seen.update({k: sorted(r.id for r in b.collect())}), str(tmp_path / "cp")).awaitTermination()
+    assert [seen[k] for k in sorted(seen)] == [[0] * 381, [500] * 18, [1000]]
