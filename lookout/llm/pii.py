@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,10 +14,10 @@ from lookout.llm.common import documents, stored
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-# Rows of each kind that the trees are fitted on, at most, and one in how many is kept back
-# for the thresholds.
-SAMPLE_ROWS = 5_000
+# One candidate in how many is kept back from the trees for the thresholds.
 HELD_OUT = 5
+# Scores are rounded to so many steps, so that those of all rows kept back are few values.
+SCORES = 1 << 16
 PRECISION = 0.99
 TREES, DEPTH = 15, 3
 
@@ -176,21 +176,26 @@ def tree_score(model) -> Callable[[Column], Column]:
         total = F.lit(0.0)
         for weight, tree in zip(model.treeWeights, model.trees):
             total = total + F.lit(float(weight)) * parse(tree.toDebugString.split("\n")[1:], f)
-        return 1 / (1 + F.exp(-2 * total))
+        return F.round(SCORES / (1 + F.exp(-2 * total))) / SCORES
 
     return score
 
 
-def threshold(scored: list[tuple[float, int]]) -> float | None:
+def threshold(scored: list[tuple[float, int, int]]) -> float | None:
     """Lowest score, at least a half, above which the share of labels 1 is ``PRECISION``.
 
-    It lies in the middle of the gap to the next score below; None if there is none.
+    ``scored`` has a score, its rows, and those of them with label 1. The threshold lies in
+    the middle of the gap to the next score below; None if there is none.
     """
-    own, limit, hits = sorted(scored, reverse=True), None, 0
-    for n, (p, label) in enumerate(own, 1):
-        hits += label
-        below = own[n][0] if n < len(own) else 0.0
-        if below < p and hits >= PRECISION * n:
+    sums = Counter()
+    for p, n, label in scored:
+        sums[p, 0] += n
+        sums[p, 1] += label
+    own, limit, rows, hits = sorted({p for p, _ in sums}, reverse=True), None, 0, 0
+    for k, p in enumerate(own, 1):
+        rows, hits = rows + sums[p, 0], hits + sums[p, 1]
+        below = own[k] if k < len(own) else 0.0
+        if hits >= PRECISION * rows:
             limit = max((p + below) / 2, 0.5)
     return limit
 
@@ -200,28 +205,32 @@ def fit(scan: DataFrame):
 
     Labelled are candidates that overlap a base span of their kind (1), of another kind or
     none (0); those whose form alone kept them out of the base (a phone number without plus
-    sign, a spelled-out address) are open: scored, but not learned from. Fitted are at most
-    ``SAMPLE_ROWS`` of each kind by hash, of which one in ``HELD_OUT`` is kept back. A kind's
+    sign, a spelled-out address) are open: scored, but not learned from. All labelled
+    candidates count, those of the same features as one row with their number as its weight;
+    one in ``HELD_OUT``, by hash, is kept back from the trees for the thresholds. A kind's
     threshold comes from its own rows kept back, that of a kind without any such cut from all
     kinds together; where these have none either, only scores above all known errors count.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = scan.select("doc_id", F.explode("found").alias("c")).select("c.*", F.xxhash64("doc_id", "c.s", "c.e", "c.k").alias("h"))
-    kinds = [rows.where((F.col("label") >= 0) & (F.col("k") == k)).orderBy("h", "s", "e").limit(SAMPLE_ROWS) for k in range(4)]
-    rows = stored(reduce(DataFrame.union, kinds), "pii-sample")
-    kept_back = F.pmod("h", F.lit(HELD_OUT)) == 0
-    train = rows.where(~kept_back).select(F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"))
+    found = scan.select("doc_id", F.explode("found").alias("c")).select("c.*", F.xxhash64("doc_id", "c.s", "c.e", "c.k").alias("h"))
+    back = F.pmod("h", F.lit(HELD_OUT)) == 0
+    labelled = found.where("label >= 0").groupBy("k", "label", "f", back.alias("back")).agg(F.count("*").alias("n"))
+    rows = stored(labelled, "pii-labelled")
+    train = rows.where("NOT back").select(
+        F.col("label").cast("double").alias("label"), array_to_vector("f").alias("features"), F.col("n").cast("double").alias("n")
+    )
     if train.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1).fit(train)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, weightCol="n").fit(train)
     score = tree_score(model)
-    held = rows.where(kept_back).select("k", "label", score(F.col("f")).alias("p")).collect()
-    pooled = threshold([(r.p, r.label) for r in held])
+    # Sums by rounded score: at most SCORES + 1 rows of each kind, however many are kept back.
+    held = rows.where("back").groupBy("k", score(F.col("f")).alias("p")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("hits")).collect()
+    pooled = threshold([(r.p, r.n, r.hits) for r in held])
     if pooled is None:
-        pooled = max([0.5, *(r.p for r in held if not r.label)])
-    own = [threshold([(r.p, r.label) for r in held if r.k == kind]) for kind in range(4)]
+        pooled = max([0.5, *(r.p for r in held if r.hits < r.n)])
+    own = [threshold([(r.p, r.n, r.hits) for r in held if r.k == kind]) for kind in range(4)]
     limits = [pooled if limit is None else limit for limit in own]
     return score, limits
 

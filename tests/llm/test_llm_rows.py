@@ -87,6 +87,24 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert all(got[i] == "phone:12:29" for i in range(600))
 
 
+def test_pii_learns_from_all_labelled_candidates(spark, monkeypatch):
+    """Whatever their number; those of one form are one row, with their number as its weight."""
+    from pyspark.ml.classification import GBTClassifier
+
+    seen, fitted = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, df: seen.append(df.collect()) or fitted(self, df))
+    rows = [(i, f"please call +1 (415) 555-{1000 + i % 9000} now and then order part {10000000 + 7919 * i} today") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    pii.fit(pii.scanned(docs))
+    labelled = [c for i, t in rows for c in pii.candidates(t) if c[0] == pii.PHONE]
+    # One in five is kept back.
+    assert len(labelled) == 18000
+    assert abs(sum(r.n for r in seen[0]) - 0.8 * 18000) < 300 and len(seen[0]) < 9000
+    assert pii.threshold([(0.9, 98, 98), (0.8, 2, 1), (0.7, 1000, 1000), (0.6, 50, 0)]) == pytest.approx(0.65)
+    assert pii.threshold([(0.9, 50, 49), (0.9, 50, 50), (0.8, 50, 0)]) == pytest.approx(0.85)
+    assert pii.threshold([(0.9, 2, 1)]) is None
+
+
 def test_pii_planted_beyond_the_base(spark):
     """Forms outside the base, close to those of the labels, are found beside real documents."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text")
