@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -23,6 +21,11 @@ STATE = "count INT, last_error STRING, last_failed_at TIMESTAMP"
 DELAY = "1 hour"
 
 
+def _later(a: tuple, b: tuple) -> bool:
+    """Whether ``a`` comes after ``b`` in the order; unknown places come first, as in Spark's."""
+    return [(x is not None, x) for x in a] > [(x is not None, x) for x in b]
+
+
 class Streak(StatefulProcessor):
     """Consecutive failures of one company.
 
@@ -38,37 +41,32 @@ class Streak(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("streak", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        failed, ok_at = None, None
-        for frame in rows:
-            frame = frame.sort_values(self.order, kind="stable")
-            good = frame[frame["ok"]]
-            if len(good):
-                at = tuple(good[self.order].iloc[-1])
-                ok_at = at if ok_at is None else max(ok_at, at)
-            bad = frame.loc[~frame["ok"], [*self.order, "error"]]
-            # Of each frame only the order of its failures is held, and its last error.
-            bad["error"] = [None] * (len(bad) - 1) + bad["error"].tolist()[-1:]
-            failed = bad if failed is None else pd.concat([failed, bad])
-            if ok_at is not None:
-                later = [tuple(x) > ok_at for x in failed[self.order].itertuples(index=False)]
-                failed = failed[np.array(later, bool)]
-        yield self._result(key, *self._fold(failed.sort_values(self.order, kind="stable"), ok_at is not None))
-
-    def _fold(self, failed: pd.DataFrame, had_ok: bool) -> tuple:
-        old = self.state.get() if self.state.exists() and not had_ok else None
-        if failed.empty and old is None:
-            self.state.clear()
-            self._reset_timer(None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Few companies have many rows in a batch, so plain values beat a frame for each.
+        failed, ok_at, last, error = [], None, None, None
+        for row in rows:
+            at = tuple(row[c] for c in self.order)
+            if row["ok"]:
+                if ok_at is None or _later(at, ok_at):
+                    ok_at = at
+            elif row["ok"] is not None and (ok_at is None or _later(at, ok_at)):
+                failed.append(at)
+                if last is None or _later(at, last) or at == last:
+                    last, error = at, row["error"]
+        if ok_at is not None:
+            failed = [at for at in failed if _later(at, ok_at)]
+        yield self._result(key, *self._fold(len(failed), last, error, ok_at is not None))
+
+    def _fold(self, failed: int, last: tuple | None, error: str | None, had_ok: bool) -> tuple:
+        old = None if had_ok else self.state.get()
+        if not failed and old is None:
+            if had_ok:
+                self.state.clear()
+                self._reset_timer(None)
             return 0, None, None, False
-        if failed.empty:
+        if not failed:
             return (*old, False)
-        error = failed["error"].iloc[-1]
-        now = (
-            (old[0] if old else 0) + len(failed),
-            None if pd.isna(error) else error[:ERROR_LENGTH],
-            failed[self.order[0]].iloc[-1].to_pydatetime(),
-        )
+        now = ((old[0] if old else 0) + failed, None if error is None else error[:ERROR_LENGTH], last[0])
         self.state.update(now)
         self._reset_timer(now if now[0] >= self.threshold else None)
         return (*now, False)
@@ -79,19 +77,19 @@ class Streak(StatefulProcessor):
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if now is not None:
-            due = pd.Timestamp(now[2]) + self.probe_after
-            self.handle.registerTimer(due.value // 1_000_000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            yield self._result(key, *self.state.get(), True)
-
-    def _result(self, key, count, error, at, probe) -> pd.DataFrame:
-        return pd.DataFrame({
-            "company": [key[0]], "count": pd.Series([count], dtype="int32"), "last_error": pd.Series([error], dtype=object),
-            "last_failed_at": pd.Series([at], dtype="datetime64[us]"), "skipped": [bool(count >= self.threshold and not probe)],
-            "probe": [probe],
-        })
+            due = now[2] + self.probe_after
+            self.handle.registerTimer(int(due.timestamp() * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old = self.state.get()
+        if old is not None:
+            yield self._result(key, *old, True)
+
+    def _result(self, key, count, error, at, probe) -> Row:
+        return Row(
+            company=key[0], count=count, last_error=error, last_failed_at=at,
+            skipped=count >= self.threshold and not probe, probe=probe,
+        )
 
     def close(self) -> None:
         pass
@@ -106,7 +104,7 @@ def streaks(log: DataFrame, order: tuple[str, ...] = ("run_ts",), threshold: int
     company count for none.
     """
     rows = log.where("company IS NOT NULL").select("company", "ok", F.substring("error", 1, ERROR_LENGTH).alias("error"), *order)
-    return rows.withWatermark(order[0], delay).groupBy("company").transformWithStateInPandas(
+    return rows.withWatermark(order[0], delay).groupBy("company").transformWithState(
         Streak(order, threshold, probe_after), STREAKS, "Update", "EventTime"
     )
 
