@@ -14,7 +14,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a five-word Jaccard of 0.8 or more one stays."""
+    """Of each group of documents linked by a five-word Jaccard of 0.8 or more one stays.
+
+    SimHash links the closest, exact Jaccard checks them and adds what lies more bits apart.
+    """
     return simhash.one_per_group(docs, similar.near_groups(docs))
 
 

@@ -1,4 +1,8 @@
-"""Documents alike in their five-word shingles: every pair of Jaccard 0.8 or more, exactly."""
+"""Documents alike in their five-word shingles: every pair of Jaccard 0.8 or more, exactly.
+
+SimHash fingerprints link the closest documents, each link checked by exact Jaccard; a join of
+prefixes finds the pairs that lie more bits apart.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +10,12 @@ from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from lookout.llm import simhash
 from lookout.llm.common import discard, stored
 from lookout.llm.components import components
 from lookout.operators.joins import lookup
@@ -20,6 +26,8 @@ ALIKE = 8
 # Sets of a shingle that are compared pair by pair; fuller shingles go by pivots.
 PAIRWISE = 64
 ROUNDS = 6
+# Sets of a shingle that one task compares with as many others, by their parities.
+CHUNK = 4096
 # Texts that show which shingles are common, and the shingles taken as such. They only set
 # the order in which a set's shingles stand, whatever that is no pair is lost.
 SAMPLE_DOCS = 4_000
@@ -54,22 +62,62 @@ def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return own[np.lexsort((own, place))[:keep]]
 
 
-def _sets(docs: DataFrame, row: Callable[[np.ndarray], np.ndarray] = lambda own: own) -> DataFrame:
-    """``doc_id, text_hash, sig, n, own``: hash and size of a text's set, and what ``row`` takes of it."""
+def parities(own: np.ndarray) -> bytes:
+    """Whether an odd number of a set's shingles falls into each of 2n to 4n fields, at least 64.
+
+    Fields that differ between two sets each hold a shingle that only one of them has.
+    """
+    fields = max(64, 1 << (2 * len(own) - 1).bit_length()) if len(own) else 64
+    odd = np.bincount((own.view(np.uint64) & np.uint64(fields - 1)).astype(np.int64), minlength=fields) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that only one of two sets has, at least, by their parities."""
+    short = 4 * min(len(x), len(y))
+    x, y = ((int.from_bytes(v), 8 * len(v)) for v in (x, y))
+    folded = []
+    for v, size in (x, y):
+        while size > 2 * short:
+            size //= 2
+            v = (v >> size) ^ (v & ((1 << size) - 1))
+        folded.append(v)
+    return (folded[0] ^ folded[1]).bit_count()
+
+
+def _pass(docs: DataFrame, columns: Callable[[list, list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """``doc_id, text_hash, sig, n`` of every row, hash and size of its set, and further columns."""
+    names = ["doc_id", "text_hash", "sig", "n", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t) for t in batch.column("text").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            sets = [shingles(t) for t in texts]
             cols = [
                 batch.column("doc_id"), batch.column("text_hash"),
                 pa.array([xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()),
-                pa.array([len(s) for s in sets], pa.int32()), pa.array([row(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([len(s) for s in sets], pa.int32()), *columns(texts, sets),
             ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "sig", "n", "own"])
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return narrow.mapInArrow(run, "doc_id long, text_hash long, sig long, n int, own array<long>")
+    return narrow.mapInArrow(run, f"doc_id long, text_hash long, sig long, n int, {schema}")
+
+
+def _sets(docs: DataFrame) -> DataFrame:
+    """``own``: the whole set of every row."""
+    return _pass(docs, lambda texts, sets: [pa.array(sets, pa.list_(pa.int64()))], "own array<long>")
+
+
+def _described(docs: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """Prefix, parities and SimHash fingerprint of every row."""
+    columns = lambda texts, sets: [
+        pa.array([prefix(s, common, rank) for s in sets], pa.list_(pa.int64())),
+        pa.array([parities(s) for s in sets], pa.binary()),
+        pa.array([simhash.fingerprint(t) for t in texts], pa.int64()),
+    ]
+    return _pass(docs, columns, "prefix array<long>, odd binary, fp long")
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -82,16 +130,29 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s for s, _ in top], np.int64), np.array([n for _, n in top], np.int64)
 
 
-def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``both`` and ``all`` of the two sets to distinct ``pairs(a, b)``."""
-    one, two = sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), sets.select(F.col("sig").alias("b"), F.col("own").alias("y"))
+def _may(apart: Column, sizes: Column) -> Column:
+    """Whether sets of together ``sizes`` shingles may be alike with ``apart`` in only one of them."""
+    return 10 * (sizes - apart) >= ALIKE * (sizes + apart)
+
+
+def _bounded(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Adds ``apart`` (at least), ``sum`` of the sizes, and ``may`` to distinct ``pairs(a, b)``."""
+    least = F.pandas_udf(lambda x, y: pd.Series([least_apart(*v) for v in zip(x, y)], dtype="int32"), "int")
+    one, two = (about.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}")) for c in "ab")
     met = lookup(lookup(pairs, one, ["a"], "inner"), two, ["b"], "inner")
-    met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return met.select("a", "b", "both", (F.col("sum") - F.col("both")).alias("all"))
+    met = met.select("a", "b", least("odd_a", "odd_b").alias("apart"), (F.col("n_a") + F.col("n_b")).alias("sum"))
+    return met.withColumn("may", _may(F.col("apart"), F.col("sum")))
 
 
-def _alike() -> Column:
-    return 10 * F.col("both") >= ALIKE * F.col("all")
+def _scored(bounded: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, far, alike`` of pairs: the exact distance where they may be alike, else a lower bound."""
+    one, two = sets.select(F.col("sig").alias("a"), F.col("own").alias("x")), sets.select(F.col("sig").alias("b"), F.col("own").alias("y"))
+    met = lookup(lookup(bounded.where("may").select("a", "b"), one, ["a"], "inner"), two, ["b"], "inner")
+    met = met.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    both, every = F.col("both"), F.col("sum") - F.col("both")
+    exact = met.select("a", "b", (1 - both / every).alias("far"), (10 * both >= ALIKE * every).alias("alike"))
+    bound = 2 * F.col("apart") / (F.col("sum") + F.col("apart"))
+    return exact.union(bounded.where("NOT may").select("a", "b", bound.alias("far"), F.lit(False)))
 
 
 # Length of a set's prefix, from its size.
@@ -121,73 +182,150 @@ def _pairs(rows: DataFrame, full: DataFrame | None = None) -> DataFrame:
     return shared.where((10 + ALIKE) * (F.col("c") + F.col("more")) >= ALIKE * F.col("sum")).select("a", "b")
 
 
+def _crowded(rows: DataFrame, about: DataFrame, group: DataFrame) -> DataFrame:
+    """Distinct pairs of a key of ``rows(key, sig)`` that may be alike and aren't in one group.
+
+    All sets of a key are compared, by their parities: they are dealt into chunks, and a task
+    compares two chunks, so it holds no more than ``2 * CHUNK`` sets of however full a key.
+    """
+    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    rows = lookup(lookup(rows.select("key", "sig"), about, ["sig"], "inner"), group, ["sig"], "left")
+    rows = lookup(rows.withColumn("g", F.coalesce("g", "sig")), chunks, ["key"], "inner")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sig", "key"), "chunks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "n", "g", "odd")
+
+    def compare(block: pa.Table) -> pa.Table:
+        i, j = (block.column(c)[0].as_py() for c in "ij")
+        chunk, sig, n, g = (block.column(c).to_numpy().astype(np.int64) for c in ("chunk", "sig", "n", "g"))
+        odd = block.column("odd").to_pylist()
+        size = np.array([len(x) for x in odd])
+        found = []
+        for fields in np.unique(size):
+            # Sets of one number of fields with those of as many or twice as many, folded.
+            mine = np.flatnonzero(size == fields)
+            matrix = np.stack([np.frombuffer(odd[k], np.uint64) for k in mine])
+            twice = np.flatnonzero(size == 2 * fields)
+            if len(twice):
+                wide = np.stack([np.frombuffer(odd[k], np.uint64) for k in twice])
+                matrix = np.concatenate([matrix, wide[:, : fields // 8] ^ wide[:, fields // 8 :]])
+            every = np.concatenate([mine, twice])
+            for at, k in enumerate(mine):
+                rest = slice(at + 1, None)
+                near = every[rest]
+                total, apart = n[near] + n[k], np.abs(n[near] - n[k])
+                open_ = (g[near] != g[k]) & ((i == j) | (chunk[near] != chunk[k]))
+                chosen = np.flatnonzero(open_ & (10 * (total - apart) >= ALIKE * (total + apart)))
+                if len(chosen):
+                    apart = np.bitwise_count(matrix[rest][chosen] ^ matrix[at]).sum(axis=1, dtype=np.int64)
+                    good = chosen[10 * (total[chosen] - apart) >= ALIKE * (total[chosen] + apart)]
+                    found.append(np.stack([np.full(len(good), sig[k]), sig[near[good]]]))
+        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Rows of keys that several sets have, with the number of these sets."""
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return lookup(keys, sizes, ["key"], "inner")
 
 
+def _closest(rows: DataFrame) -> DataFrame:
+    """Distinct pairs ``a, b`` of sets that SimHash links: one fingerprint, or within two bits.
+
+    Sets of a fingerprint are paired with the least, and the least of linked fingerprints.
+    """
+    least = stored(rows.groupBy("fp").agg(F.min("sig").alias("least")), "similar-fps")
+    own = lookup(rows.select("fp", "sig").distinct(), least, ["fp"], "inner").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    near = simhash.links(least.select("fp"))
+    for c in "ab":
+        near = lookup(near, least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")), [c], "inner")
+    every = own.union(near.select("_a", "_b")).where("a != b")
+    pairs = stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-closest")
+    discard(least)
+    return pairs
+
+
 def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Edges ``a, b`` that connect all distinct sets of ``rows(sig, n, own, text_hash)`` alike.
+    """Edges ``a, b`` that connect all distinct sets of ``rows(sig, n, prefix, odd, fp, text_hash)`` alike.
 
-    Sets that share a shingle of their prefixes are compared. A shingle with more than
+    Sets that SimHash links are compared first; those found alike form groups, inside which
+    nothing more is compared. Then sets that share a shingle of their prefixes are. Whole sets
+    are moved only for pairs that may be alike by their parities. A shingle with more than
     ``PAIRWISE`` sets compares all of them with one, its pivot. The Jaccard distance is a
     metric: with g the least distance to the pivot among the sets not alike to it, a set
     nearer to the pivot than g - 0.2 has no pair outside and is settled by its link to the
-    pivot. The others take a further pivot, and after ``ROUNDS`` are compared by pairs.
+    pivot. The others take a further pivot, and after ``ROUNDS`` all of a shingle are compared
+    by their parities.
     """
-    distinct = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("own").alias("prefix"))
+    distinct = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     keys = stored(distinct.select("sig", "n", F.explode("prefix").alias("key")), "similar-keys")
     shared = stored(_shared(keys), "similar-blocks")
     discard(keys)
+    about = stored(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "similar-about")
+    closest = _closest(rows)
+    first = stored(_bounded(closest, about), "similar-bounded")
     left = shared.where(F.col("size") > PAIRWISE).select("key", "sig", "n")
     full = left.groupBy("sig").agg(F.count("*").cast("int").alias("full"))
-    pairs = stored(_pairs(shared.where(F.col("size") <= PAIRWISE), full), "similar-pairs")
-    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(left.select("sig")).distinct()
-    # The sets are built anew from the texts, only for those that are compared.
+    second = stored(_bounded(_pairs(shared.where(F.col("size") <= PAIRWISE), full), about), "similar-bounded")
+    both = first.where("may").union(second.where("may"))
+    nodes = both.select(F.col("a").alias("sig")).union(both.select("b")).union(left.select("sig")).distinct()
+    # The sets are built anew from the texts, only for those that may be compared.
     wanted = lookup(rows, nodes, ["sig"], "left_semi").groupBy("sig").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
     texts = docs.select("doc_id", "text").withColumn("_text", F.xxhash64(F.col("text").cast("string")))
     sets = stored(_sets(lookup(texts, wanted, ["_text"], "left_semi")).select("sig", "own").dropDuplicates(["sig"]), "similar-sets")
 
-    def alike(some: DataFrame) -> DataFrame:
+    def alike(bounded: DataFrame) -> DataFrame:
         """Written, so that the pairs' sets are moved once and then gone."""
-        return stored(_scored(some, sets).where(_alike()).select("a", "b"), "similar-edges")
+        return stored(_scored(bounded.where("may"), sets).where("alike").select("a", "b"), "similar-edges")
+
+    edges = alike(first)
+    # Sets that are linked by now; a set without a link is a group of its own.
+    group = stored(components(edges), "similar-group").select(F.col("node").alias("sig"), F.col("component").alias("g"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        for c in "ab":
+            pairs = lookup(pairs, group.select(F.col("sig").alias(c), F.col("g").alias(f"g_{c}")), [c], "left")
+        return pairs.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).drop("g_a", "g_b")
 
-    edges = alike(pairs)
-    discard(pairs)
-    old = [shared]
+    edges = edges.union(alike(apart(second)))
+    old = [shared, closest, first, second]
     for turn in range(ROUNDS):
         if left.isEmpty():
             break
         pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig"))["sig"].alias("p"))
         met = stored(lookup(left, pivots, ["key"], "inner").where("sig != p"), "similar-met")
-        scored = stored(_scored(met.select(F.col("sig").alias("a"), F.col("p").alias("b")).distinct(), sets), "similar-scored")
-        edges = edges.union(stored(scored.where(_alike()).select("a", "b"), "similar-edges"))
-        far = 1 - F.col("both") / F.col("all")
-        known = scored.select(F.col("a").alias("sig"), F.col("b").alias("p"), far.alias("far"), _alike().alias("alike"))
+        bounded = stored(_bounded(met.select(F.col("sig").alias("a"), F.col("p").alias("b")).distinct(), about), "similar-bounded")
+        scored = stored(_scored(bounded, sets), "similar-scored")
+        edges = edges.union(stored(scored.where("alike").select("a", "b"), "similar-edges"))
+        known = scored.select(F.col("a").alias("sig"), F.col("b").alias("p"), "far", "alike")
         placed = stored(lookup(met, known, ["sig", "p"], "inner"), "similar-placed")
         gaps = placed.groupBy("key").agg(F.coalesce(F.min(F.when(~F.col("alike"), F.col("far"))), F.lit(2.0)).alias("gap"))
         open_ = ~F.col("alike") | (F.col("far") >= F.col("gap") - (1 - ALIKE / 10) - 1e-9)
         open_rows = lookup(placed, gaps, ["key"], "inner").where(open_).select("key", "sig", "n")
         rest = stored(_shared(open_rows), "similar-rest")
-        for table in (*old, met, scored, placed):
+        for table in (*old, met, bounded, scored, placed):
             discard(table)
-        few = stored(_pairs(rest.where(F.col("size") <= PAIRWISE)), "similar-pairs")
+        few = stored(_bounded(apart(_pairs(rest.where(F.col("size") <= PAIRWISE))), about), "similar-bounded")
         edges = edges.union(alike(few))
         old = [rest, few]
         left = rest.where(F.col("size") > PAIRWISE).select("key", "sig", "n")
     else:
-        edges = edges.union(alike(_pairs(left)))
-    for table in (*old, sets):
+        last = stored(_bounded(_crowded(left, about, group), about), "similar-bounded")
+        edges = edges.union(alike(last))
+        old.append(last)
+    for table in (*old, sets, about, group):
         discard(table)
     return edges
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs(doc_id, text)``, as SimHash's."""
+    """``doc_id, component_id`` for every row of ``docs(doc_id, text)``, rows as in SimHash's."""
     common, rank = _common(docs)
     given = docs.select("doc_id", "text")
-    rows = stored(_sets(given, lambda own: prefix(own, common, rank)), "similar")
+    rows = stored(_described(given, common, rank), "similar")
     distinct = rows.groupBy("sig").agg(F.min("doc_id").alias("first_id"))
     comps = stored(components(links(given, rows)), "similar-components").withColumnRenamed("node", "sig")
     labelled = stored(

@@ -4,10 +4,11 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from lookout.llm import similar
+from lookout.llm import simhash, similar
 from test_llm_rows import given, odd, pairs  # noqa: F401
 
 
@@ -67,3 +68,61 @@ def test_near_duplicates_equal_brute_force(table, pairwise, rounds, common, requ
     monkeypatch.setattr(similar, "COMMON_FROM", common)
     out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
     assert sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == brute_kept(pairs(docs))
+
+
+def swapped(n_sets=60, seed=4):
+    """Sets of all sizes in families, and the shingles that only one of two has."""
+    r = random.Random(seed)
+    out = []
+    for n in (1, 3, 30, 70, 500, 3000):
+        base = [r.getrandbits(64) for _ in range(n)]
+        for _ in range(n_sets // 6):
+            out.append(np.unique(np.array([x if r.random() > 0.1 else r.getrandbits(64) for x in base], np.uint64).view(np.int64)))
+    return out
+
+
+def test_parities_never_count_too_much():
+    sets = swapped()
+    far = []
+    for a in sets:
+        for b in sets:
+            true, least = len(np.setxor1d(a, b)), similar.least_apart(similar.parities(a), similar.parities(b))
+            assert least <= true and (true - least) % 2 == 0
+            if len(a) == len(b) > 400 and true > len(a):
+                far.append(least / true)
+    assert not far or min(far) > 0.5
+
+
+@pytest.mark.parametrize("chunk", [7, 4096])
+def test_crowded_shingles_give_every_pair_that_may_be_alike(chunk, spark, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    sets = {i: s for i, s in enumerate(swapped())}
+    about = spark.createDataFrame([(i, len(s), bytearray(similar.parities(s))) for i, s in sets.items()], "sig long, n int, odd binary")
+    rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in sets], "key long, sig long")
+    group = spark.createDataFrame([(10, 10), (11, 10)], "sig long, g long")
+    got = [tuple(r) for r in similar._crowded(rows, about, group).collect()]
+    want = []
+    for a in sets:
+        for b in range(a):
+            apart = max(similar.least_apart(similar.parities(sets[a]), similar.parities(sets[b])), abs(len(sets[a]) - len(sets[b])))
+            total = len(sets[a]) + len(sets[b])
+            if 10 * (total - apart) >= 8 * (total + apart) and (b, a) != (10, 11):
+                want.append((b, a))
+    assert sorted(got) == sorted(want) and want
+
+
+def test_near_duplicates_start_from_simhash_and_move_few_sets(spark, sf_dir, monkeypatch):
+    """SimHash's links are compared, and whole sets only of pairs that their parities leave open."""
+    linked, moved, links, scored = [], [], simhash.links, similar._scored
+    monkeypatch.setattr(simhash, "links", lambda fps: linked.append(fps.count()) or links(fps))
+    monkeypatch.setattr(similar, "_scored", lambda pairs, sets: moved.append(pairs.where("may").count()) or scored(pairs, sets))
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    passage = r.choices(words, k=30)
+    # Texts that share a passage, none of them alike, and two copies but for one of many words.
+    texts = [passage + r.choices(words, k=100) for _ in range(30)]
+    texts += [texts[0][:-1] + ["end"]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+    assert linked and linked[0] >= 30 and sum(moved) <= 4
