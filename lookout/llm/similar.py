@@ -270,16 +270,20 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     left = shared.where(F.col("size") > PAIRWISE).select("key", "sig", "n")
     full = left.groupBy("sig").agg(F.count("*").cast("int").alias("full"))
     second = stored(_bounded(_pairs(shared.where(F.col("size") <= PAIRWISE), full), about), "similar-bounded")
-    both = first.where("may").union(second.where("may"))
-    nodes = both.select(F.col("a").alias("sig")).union(both.select("b")).union(left.select("sig")).distinct()
-    # The sets are built anew from the texts, only for those that may be compared.
-    wanted = lookup(rows, nodes, ["sig"], "left_semi").groupBy("sig").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
     texts = docs.select("doc_id", "text").withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    sets = stored(_sets(lookup(texts, wanted, ["_text"], "left_semi")).select("sig", "own").dropDuplicates(["sig"]), "similar-sets")
+
+    def exact(bounded: DataFrame) -> DataFrame:
+        """Scored pairs, written. The sets that may be alike are built anew from the texts, moved once and then gone."""
+        may = bounded.where("may")
+        nodes = may.select(F.col("a").alias("sig")).union(may.select("b")).distinct()
+        wanted = lookup(rows, nodes, ["sig"], "left_semi").groupBy("sig").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
+        sets = stored(_sets(lookup(texts, wanted, ["_text"], "left_semi")).select("sig", "own").dropDuplicates(["sig"]), "similar-sets")
+        scored = stored(_scored(bounded, sets), "similar-scored")
+        discard(sets)
+        return scored
 
     def alike(bounded: DataFrame) -> DataFrame:
-        """Written, so that the pairs' sets are moved once and then gone."""
-        return stored(_scored(bounded.where("may"), sets).where("alike").select("a", "b"), "similar-edges")
+        return exact(bounded.where("may")).where("alike").select("a", "b")
 
     edges = alike(first)
     # Sets that are linked by now; a set without a link is a group of its own.
@@ -298,7 +302,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         pivots = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)), "sig"))["sig"].alias("p"))
         met = stored(lookup(left, pivots, ["key"], "inner").where("sig != p"), "similar-met")
         bounded = stored(_bounded(met.select(F.col("sig").alias("a"), F.col("p").alias("b")).distinct(), about), "similar-bounded")
-        scored = stored(_scored(bounded, sets), "similar-scored")
+        scored = exact(bounded)
         edges = edges.union(stored(scored.where("alike").select("a", "b"), "similar-edges"))
         known = scored.select(F.col("a").alias("sig"), F.col("b").alias("p"), "far", "alike")
         placed = stored(lookup(met, known, ["sig", "p"], "inner"), "similar-placed")
@@ -316,7 +320,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         last = stored(_bounded(_crowded(left, about, group), about), "similar-bounded")
         edges = edges.union(alike(last))
         old.append(last)
-    for table in (*old, sets, about, group):
+    for table in (*old, about, group):
         discard(table)
     return edges
 
