@@ -92,12 +92,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _found(texts: DataFrame, settled: bool) -> DataFrame:
-    """``key, v, c``: anchors and contexts of each text.
+def _found(texts: DataFrame) -> DataFrame:
+    """``key, v, c, gone``: anchors and contexts of each text.
 
     Within a batch of rows, a context's smallest document asks the rest of the corpus;
-    the other documents with it are settled: a smaller one has all that it holds. So a
-    context that a third of all documents share is asked about once for each batch.
+    the other documents with it are gone: a smaller one has all that it holds. They have a
+    ``v`` of their own, so a context that a third of all documents share is asked about once
+    for each batch, and no task gets its copies.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +114,18 @@ def _found(texts: DataFrame, settled: bool) -> DataFrame:
             order = np.lexsort((found[0], found[2]))
             key, c = found[0][order], found[2][order]
             fresh = np.r_[True, c[1:] != c[:-1]][: len(c)]
-            if settled:
-                first = key[np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))] if len(c) else key
-                take = (key > first) & np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])][: len(c)]
-            else:
-                take = fresh
+            first = key[np.maximum.accumulate(np.where(fresh, np.arange(len(c)), 0))] if len(c) else key
+            settled = (key > first) & np.r_[True, (c[1:] != c[:-1]) | (key[1:] != key[:-1])][: len(c)]
+            gone = np.zeros(len(c), bool)
+            gone[order[settled]] = True
             # In the order of the texts: neighbouring rows then differ little.
-            take = np.sort(order[take])
-            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in found], names=["key", "v", "c"])
+            take = np.sort(order[fresh | settled])
+            key, v, c, gone = (x[take] for x in (*found, gone))
+            own = _mixed(key.view(np.uint64) * ODD + c.view(np.uint64)).view(np.int64)
+            columns = (key, np.where(gone, own, v), c, gone)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "v", "c", "gone"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, v long, c long")
+    return texts.select("key", "text").mapInArrow(run, "key long, v long, c long, gone boolean")
 
 
 def _lists(column: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -253,8 +256,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     equal hashes, one pair in 10^19, would be taken for each other.
     """
     texts = _texts(docs)
-    asked = _found(texts, settled=False).repartition("v")
-    asked = asked.withColumn("gone", F.col("key") > F.min("key").over(Window.partitionBy("v", "c")))
+    asked = _found(texts).repartition("v")
+    asked = asked.withColumn("gone", F.col("gone") | (F.col("key") > F.min("key").over(Window.partitionBy("v", "c"))))
     # Contexts of an anchor: the rows that aren't gone, one for each.
     asked = asked.withColumn("n", F.count(F.when(~F.col("gone"), 1)).over(Window.partitionBy("v")))
     asked = asked.where("gone or n > 1").select("key", "c", "gone", (F.col("n") > CROWDED).alias("crowded"))
@@ -262,7 +265,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     masks = _shared(texts, asked.where("not gone"))
     answers = (
         asked.where("gone").select("key", "c", F.lit(-1).cast("long").alias("mask"))
-        .union(_found(texts, settled=True).select("key", "c", F.lit(-1).cast("long")))
         .union(masks)
     )
     answers = answers.groupBy("key").agg(F.collect_list(F.struct("c", "mask")).alias("answers"))

@@ -104,7 +104,9 @@ def _place(sa: np.ndarray, at: np.ndarray, s: np.ndarray, new: np.ndarray, way:
 def _names(s: np.ndarray, leftmost: np.ndarray, in_order: np.ndarray) -> np.ndarray:
     """Ranks of the substrings between leftmost-smaller suffixes, equal ones sharing one."""
     ends = np.r_[leftmost[1:], len(s) - 1]
-    at = np.searchsorted(leftmost, in_order)
+    turn = np.empty(len(s), np.int64)
+    turn[leftmost] = np.arange(len(leftmost))
+    at = turn[in_order]
     length = ends[at] - in_order + 1
     same = np.zeros(len(in_order), bool)
     pair = np.flatnonzero(length[1:] == length[:-1]) + 1
@@ -121,21 +123,42 @@ def _names(s: np.ndarray, leftmost: np.ndarray, in_order: np.ndarray) -> np.ndar
 
 
 def _doubling(s: np.ndarray) -> np.ndarray:
+    """Order of the suffixes by twice as many symbols in each turn.
+
+    A rank is the place where a suffix's group begins, so only groups of several suffixes
+    are sorted again.
+    """
     n, k = len(s), 1
-    rank = s.astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    at, key, rank = np.arange(n), s[order], np.empty(n, np.int64)
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.r_[False, key[order][1:] != key[order][:-1]])
-        rank = new
-        if rank.max() == n - 1 or k >= n:
+        fresh = np.r_[True, key[1:] != key[:-1]]
+        rank[order[at]] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+        at = at[~(fresh & np.r_[fresh[1:], True])]
+        if not len(at):
             return order
+        open_ = order[at]
+        second = np.zeros(len(at), np.int64)
+        inside = open_ + k < n
+        second[inside] = rank[open_[inside] + k] + 1
+        key = rank[open_] * (n + 1) + second
+        turn = np.argsort(key)
+        key, order[at] = key[turn], open_[turn]
         k *= 2
 
 
+def _words(s: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """At each position the symbols from there on that fit into 63 bits, their number, bits of each."""
+    bits = max(1, int(s.max()).bit_length())
+    many = max(1, 63 // bits)
+    padded = np.r_[s, np.zeros(many - 1, s.dtype)]
+    out = np.zeros(len(s), np.int64)
+    for k in range(many):
+        out <<= bits
+        out |= padded[k : k + len(s)]
+    return out, many, bits
+
+
 def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarray | None = None) -> np.ndarray:
     """Common prefix of each suffix and the one before it in order, by text position.
 
@@ -144,6 +167,8 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarray
     short for positions far behind, so the comparison starts ``anew`` at given places.
     """
     n = len(s)
+    if s.max() < 1 << 16:
+        s = s.astype(np.uint16)
     before = np.empty(n, np.int64)
     before[sa[1:]] = sa[:-1]
     before[sa[0]] = -1
@@ -154,11 +179,14 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarray
         fresh[anew] = True
     at = np.flatnonzero(fresh & (before >= 0))
     plcp = np.zeros(n, np.int64)
-    k = 0
-    while len(at) and k < most:
-        at = at[(at + k < n) & (before[at] + k < n)]
-        at = at[s[at + k] == s[before[at] + k]]
-        plcp[at] += 1
-        k += 1
+    # Words of several symbols; the single last symbol keeps equal ones inside the text.
+    words, many, bits = _words(s)
+    one, two, k = at, before[at], 0
+    while len(one) and k < most:
+        apart = words[one + k] ^ words[two + k]
+        plcp[one] += sum((apart < 1 << bits * j).astype(np.int64) for j in range(many))
+        same = apart == 0
+        one, two, k = one[same], two[same], k + many
+    np.minimum(plcp, most, out=plcp)
     last = np.maximum.accumulate(np.where(fresh, i, 0))
     return np.where(fresh, plcp, np.maximum(plcp[last] - (i - last), 0))

@@ -32,6 +32,15 @@ def test_suffix_array(letters):
                 assert plcp[b] == k
 
 
+def test_only_suffixes_that_are_still_equal_are_sorted_again(monkeypatch):
+    r = random.Random(5)
+    s = np.array([*r.sample(range(1, 20_000), 6000), *[1, 2, 3, 4] * 200, 0])
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(suffixes.np, "argsort", lambda x, *a, **k: sorted_.append(len(x)) or argsort(x, *a, **k))
+    assert suffixes._doubling(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    assert sum(sorted_) < 3 * len(s)
+
+
 def brute(rows):
     owners = {}
     key = lambda d: substrings.NO_ID if d is None else d
@@ -68,3 +77,17 @@ def test_removal(table, crowded, request, spark, monkeypatch):
     got = [tuple(x)[:5] for x in substrings.without_repeats(docs).collect()]
     assert in_order(got) == in_order(brute(rows))
     assert substrings.without_repeats(docs.where("false")).count() == 0
+
+
+def test_each_text_is_searched_for_anchors_once_before_its_contexts(spark, monkeypatch):
+    """Copies inside a batch are gone at once, from the same pass that asks about the others."""
+    text = "a passage that three of these documents hold in full, and some more of it"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, text), (4, "short")], "doc_id long, text string").coalesce(1)
+    passes, found = [], substrings._found
+    monkeypatch.setattr(substrings, "_found", lambda *a, **k: passes.append(a) or found(*a, **k))
+    rows = {r.doc_id: r.n_removed for r in substrings.without_repeats(docs).collect()}
+    assert rows == {1: 0, 2: len(text), 3: len(text), 4: 0} and len(passes) == 1
+    asked = found(substrings._texts(docs)).collect()
+    copies = [r for r in asked if r.gone]
+    assert {r.key for r in copies} == {2, 3} and {r.key for r in asked if not r.gone} == {1}
+    assert len({r.v for r in copies}) == len(copies)
