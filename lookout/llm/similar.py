@@ -23,11 +23,13 @@ from lookout.operators.joins import lookup
 SHINGLE = 5
 # Least similarity in tenths.
 ALIKE = 8
-# Sets of a shingle that are compared pair by pair; fuller shingles go by pivots.
+# Sets of a shingle that are joined pair by pair; fuller shingles are compared in a task each.
 PAIRWISE = 64
-ROUNDS = 6
-# Sets of a shingle that one task compares with as many others, by their parities.
+# Sets of a shingle beyond which pivots settle some first, and rounds of pivots.
 CHUNK = 4096
+ROUNDS = 6
+# Shingles of the sets that one task compares with as many others.
+CHUNK_SHINGLES = 1 << 21
 # Texts that show which shingles are common, and the shingles taken as such. They only set
 # the order in which a set's shingles stand, whatever that is no pair is lost.
 SAMPLE_DOCS = 4_000
@@ -182,48 +184,117 @@ def _pairs(rows: DataFrame, full: DataFrame | None = None) -> DataFrame:
     return shared.where((10 + ALIKE) * (F.col("c") + F.col("more")) >= ALIKE * F.col("sum")).select("a", "b")
 
 
-def _crowded(rows: DataFrame, about: DataFrame, group: DataFrame) -> DataFrame:
-    """Distinct pairs of a key of ``rows(key, sig)`` that may be alike and aren't in one group.
+def _dealt(rows: DataFrame, about: DataFrame, group: DataFrame) -> DataFrame:
+    """``rows(key, sig)`` with ``n, g`` and further columns of ``about``, dealt by ``key, i, j``.
 
-    All sets of a key are compared, by their parities: they are dealt into chunks, and a task
-    compares two chunks, so it holds no more than ``2 * CHUNK`` sets of however full a key.
+    The sets of a key meet in one task. Where they are more than a task holds, they are cut
+    into chunks of which every two meet.
     """
-    chunks = rows.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     rows = lookup(lookup(rows.select("key", "sig"), about, ["sig"], "inner"), group, ["sig"], "left")
-    rows = lookup(rows.withColumn("g", F.coalesce("g", "sig")), chunks, ["key"], "inner")
+    rows = rows.withColumn("g", F.coalesce("g", "sig"))
+    load = F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)
+    rows = lookup(rows, rows.groupBy("key").agg(F.ceil(load).alias("chunks")), ["key"], "inner")
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("sig", "key"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "sig", "n", "g", "odd")
+    rows = rows.where("chunk != other OR chunks = 1")
+    return rows.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunk", "other", "chunks")
+
+
+def with_partner(n: np.ndarray, g: np.ndarray, odd: list[bytes]) -> np.ndarray:
+    """Which sets may be alike to one of another group, by sizes and parities."""
+    size = np.array([len(x) for x in odd])
+    found = np.zeros(len(odd), bool)
+    for fields in np.unique(size):
+        # Sets of one number of fields with those of as many or twice as many, folded.
+        mine, twice = np.flatnonzero(size == fields), np.flatnonzero(size == 2 * fields)
+        matrix = np.stack([np.frombuffer(odd[k], np.uint64) for k in mine])
+        if len(twice):
+            wide = np.stack([np.frombuffer(odd[k], np.uint64) for k in twice])
+            matrix = np.concatenate([matrix, wide[:, : fields // 8] ^ wide[:, fields // 8 :]])
+        every = np.concatenate([mine, twice])
+        n_, g_ = n[every], g[every]
+        for at, k in enumerate(every):
+            if found[k]:
+                continue
+            # Twice as many fields meet in their own turn.
+            near = slice(0, len(mine) if at >= len(mine) else None)
+            total, apart = n_[near] + n[k], np.abs(n_[near] - n[k])
+            chosen = np.flatnonzero((g_[near] != g[k]) & (10 * (total - apart) >= ALIKE * (total + apart)))
+            if len(chosen):
+                apart = np.bitwise_count(matrix[chosen] ^ matrix[at]).sum(axis=1, dtype=np.int64)
+                good = chosen[10 * (total[chosen] - apart) >= ALIKE * (total[chosen] + apart)]
+                found[every[good]] = True
+                found[k] = len(good) > 0
+    return found
+
+
+def forest(g: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of sets alike that connect, with the groups ``g``, all sets alike; fewer than sets.
+
+    A set is compared, exactly, with those that no set has reached yet.
+    """
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(sets[k]) for k in order])
+    g = g[order]
+    ends = np.cumsum(sizes)
+    _, codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    own = np.zeros(codes.max() + 1, bool)
+    # Sets not reached, by size, and their shingles one after the other.
+    left, rest = np.arange(len(order)), codes
+    pairs, queue = [], []
+    while len(left):
+        if not queue:
+            reached = g[left] == g[left[0]]
+        else:
+            k = queue.pop()
+            n = sizes[k]
+            lo, hi = np.searchsorted(sizes[left], [-(-ALIKE * n // 10), 10 * n // ALIKE + 1])
+            if lo == hi:
+                continue
+            starts = np.cumsum(sizes[left]) - sizes[left]
+            mine = codes[ends[k] - n : ends[k]]
+            own[mine] = True
+            stop = starts[hi] if hi < len(left) else len(rest)
+            both = np.add.reduceat(own[rest[starts[lo] : stop]].astype(np.int64), starts[lo:hi] - starts[lo])
+            own[mine] = False
+            near = left[lo:hi][10 * both >= ALIKE * (n + sizes[left[lo:hi]] - both)]
+            if not len(near):
+                continue
+            # One pair for each group that is met.
+            met, first = np.unique(g[near], return_index=True)
+            pairs += [(int(order[k]), int(order[x])) for x in near[first]]
+            reached = np.isin(g[left], met)
+        queue += left[reached].tolist()
+        rest, left = rest[np.repeat(~reached, sizes[left])], left[~reached]
+    return pairs
+
+
+def _open(rows: DataFrame, about: DataFrame, group: DataFrame) -> DataFrame:
+    """The ``rows(key, sig)`` whose set may be alike to one of the key and another group."""
 
     def compare(block: pa.Table) -> pa.Table:
-        i, j = (block.column(c)[0].as_py() for c in "ij")
-        chunk, sig, n, g = (block.column(c).to_numpy().astype(np.int64) for c in ("chunk", "sig", "n", "g"))
-        odd = block.column("odd").to_pylist()
-        size = np.array([len(x) for x in odd])
-        found = []
-        for fields in np.unique(size):
-            # Sets of one number of fields with those of as many or twice as many, folded.
-            mine = np.flatnonzero(size == fields)
-            matrix = np.stack([np.frombuffer(odd[k], np.uint64) for k in mine])
-            twice = np.flatnonzero(size == 2 * fields)
-            if len(twice):
-                wide = np.stack([np.frombuffer(odd[k], np.uint64) for k in twice])
-                matrix = np.concatenate([matrix, wide[:, : fields // 8] ^ wide[:, fields // 8 :]])
-            every = np.concatenate([mine, twice])
-            for at, k in enumerate(mine):
-                rest = slice(at + 1, None)
-                near = every[rest]
-                total, apart = n[near] + n[k], np.abs(n[near] - n[k])
-                open_ = (g[near] != g[k]) & ((i == j) | (chunk[near] != chunk[k]))
-                chosen = np.flatnonzero(open_ & (10 * (total - apart) >= ALIKE * (total + apart)))
-                if len(chosen):
-                    apart = np.bitwise_count(matrix[rest][chosen] ^ matrix[at]).sum(axis=1, dtype=np.int64)
-                    good = chosen[10 * (total[chosen] - apart) >= ALIKE * (total[chosen] + apart)]
-                    found.append(np.stack([np.full(len(good), sig[k]), sig[near[good]]]))
-        pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        n, g = (block.column(c).to_numpy().astype(np.int64) for c in ("n", "g"))
+        return block.select(["key", "sig"]).filter(pa.array(with_partner(n, g, block.column("odd").to_pylist())))
+
+    dealt = _dealt(rows, about, group).select("key", "i", "j", "sig", "n", "g", "odd")
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "key long, sig long").distinct()
+
+
+def _crowded(rows: DataFrame, sets: DataFrame, group: DataFrame) -> DataFrame:
+    """``a, b``: pairs that connect all sets of a key of ``rows(key, sig)`` alike.
+
+    A task holds whole sets, ``sets(sig, own)``, and gives fewer pairs than it holds sets.
+    """
+
+    def compare(block: pa.Table) -> pa.Table:
+        sig, g = (block.column(c).to_numpy() for c in ("sig", "g"))
+        own = [x.values.to_numpy() for x in block.column("own")]
+        pairs = sig[np.array(forest(g, own), np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    about = sets.select("sig", F.size("own").alias("n"), "own")
+    dealt = _dealt(rows, about, group).select("key", "i", "j", "sig", "g", "own")
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _shared(keys: DataFrame) -> DataFrame:
@@ -253,12 +324,13 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     Sets that SimHash links are compared first; those found alike form groups, inside which
     nothing more is compared. Then sets that share a shingle of their prefixes are. Whole sets
-    are moved only for pairs that may be alike by their parities. A shingle with more than
-    ``PAIRWISE`` sets compares all of them with one, its pivot. The Jaccard distance is a
-    metric: with g the least distance to the pivot among the sets not alike to it, a set
-    nearer to the pivot than g - 0.2 has no pair outside and is settled by its link to the
-    pivot. The others take a further pivot, and after ``ROUNDS`` all of a shingle are compared
-    by their parities.
+    are moved only for pairs that may be alike by their parities. The sets of a shingle with
+    more than ``PAIRWISE`` meet in a task, which gives only as many pairs as connect them.
+    A shingle with more than ``CHUNK`` first compares all of them with one, its pivot. The
+    Jaccard distance is a metric: with g the least distance to the pivot among the sets not
+    alike to it, a set nearer to the pivot than g - 0.2 has no pair outside and is settled by
+    its link to the pivot. The others take a further pivot, and after ``ROUNDS`` those of a
+    shingle meet in chunks.
     """
     distinct = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     keys = stored(distinct.select("sig", "n", F.explode("prefix").alias("key")), "similar-keys")
@@ -267,17 +339,20 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     about = stored(rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "similar-about")
     closest = _closest(rows)
     first = stored(_bounded(closest, about), "similar-bounded")
-    left = shared.where(F.col("size") > PAIRWISE).select("key", "sig", "n")
-    full = left.groupBy("sig").agg(F.count("*").cast("int").alias("full"))
+    many = stored(shared.where(F.col("size") > PAIRWISE), "similar-full")
+    full = many.groupBy("sig").agg(F.count("*").cast("int").alias("full"))
     second = stored(_bounded(_pairs(shared.where(F.col("size") <= PAIRWISE), full), about), "similar-bounded")
     texts = docs.select("doc_id", "text").withColumn("_text", F.xxhash64(F.col("text").cast("string")))
 
+    def whole(nodes: DataFrame) -> DataFrame:
+        """The sets of ``nodes(sig)``, built anew from the texts and written."""
+        wanted = lookup(rows, nodes, ["sig"], "left_semi").groupBy("sig").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
+        return stored(_sets(lookup(texts, wanted, ["_text"], "left_semi")).select("sig", "own").dropDuplicates(["sig"]), "similar-sets")
+
     def exact(bounded: DataFrame) -> DataFrame:
-        """Scored pairs, written. The sets that may be alike are built anew from the texts, moved once and then gone."""
+        """Scored pairs, written. The sets that may be alike are moved once and then gone."""
         may = bounded.where("may")
-        nodes = may.select(F.col("a").alias("sig")).union(may.select("b")).distinct()
-        wanted = lookup(rows, nodes, ["sig"], "left_semi").groupBy("sig").agg(F.min("text_hash").alias("_text")).select("_text").distinct()
-        sets = stored(_sets(lookup(texts, wanted, ["_text"], "left_semi")).select("sig", "own").dropDuplicates(["sig"]), "similar-sets")
+        sets = whole(may.select(F.col("a").alias("sig")).union(may.select("b")).distinct())
         scored = stored(_scored(bounded, sets), "similar-scored")
         discard(sets)
         return scored
@@ -295,7 +370,10 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         return pairs.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).drop("g_a", "g_b")
 
     edges = edges.union(alike(apart(second)))
-    old = [shared, closest, first, second]
+    for table in (shared, closest, first, second):
+        discard(table)
+    old = [many]
+    left, crowded = (many.where(c).select("key", "sig", "n") for c in (F.col("size") > CHUNK, F.col("size") <= CHUNK))
     for turn in range(ROUNDS):
         if left.isEmpty():
             break
@@ -308,19 +386,17 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
         placed = stored(lookup(met, known, ["sig", "p"], "inner"), "similar-placed")
         gaps = placed.groupBy("key").agg(F.coalesce(F.min(F.when(~F.col("alike"), F.col("far"))), F.lit(2.0)).alias("gap"))
         open_ = ~F.col("alike") | (F.col("far") >= F.col("gap") - (1 - ALIKE / 10) - 1e-9)
-        open_rows = lookup(placed, gaps, ["key"], "inner").where(open_).select("key", "sig", "n")
+        open_rows = stored(lookup(placed, gaps, ["key"], "inner").where(open_).select("key", "sig", "n"), "similar-open")
         rest = stored(_shared(open_rows), "similar-rest")
-        for table in (*old, met, bounded, scored, placed):
+        for table in (met, bounded, scored, placed, open_rows):
             discard(table)
-        few = stored(_bounded(apart(_pairs(rest.where(F.col("size") <= PAIRWISE))), about), "similar-bounded")
-        edges = edges.union(alike(few))
-        old = [rest, few]
-        left = rest.where(F.col("size") > PAIRWISE).select("key", "sig", "n")
-    else:
-        last = stored(_bounded(_crowded(left, about, group), about), "similar-bounded")
-        edges = edges.union(alike(last))
-        old.append(last)
-    for table in (*old, about, group):
+        left, few = (rest.where(c).select("key", "sig", "n") for c in (F.col("size") > CHUNK, F.col("size") <= CHUNK))
+        crowded = crowded.union(few)
+        old.append(rest)
+    near = stored(_open(crowded.union(left), about, group), "similar-near")
+    sets = whole(near.select("sig").distinct())
+    edges = edges.union(stored(_crowded(near, sets, group), "similar-edges"))
+    for table in (*old, near, sets, about, group):
         discard(table)
     return edges
 

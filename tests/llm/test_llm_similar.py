@@ -93,22 +93,59 @@ def test_parities_never_count_too_much():
     assert not far or min(far) > 0.5
 
 
+def roots(nodes, edges):
+    """Least node of each node's component."""
+    root = {v: v for v in nodes}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {v: low if r == high else r for v, r in root.items()}
+    return root
+
+
 @pytest.mark.parametrize("chunk", [7, 4096])
-def test_crowded_shingles_give_every_pair_that_may_be_alike(chunk, spark, monkeypatch):
+def test_crowded_shingles_connect_all_sets_alike(chunk, spark, monkeypatch):
+    """Sets with a partner are all found, and few pairs of them connect all that are alike."""
     monkeypatch.setattr(similar, "CHUNK", chunk)
-    sets = {i: s for i, s in enumerate(swapped())}
+    r = random.Random(8)
+    sets = swapped(120)
+    # A chain, of which each set is alike to the next, and a cluster of pairs mostly not alike.
+    chain = np.array([r.getrandbits(63) for _ in range(100)], np.int64)
+    for k in range(30):
+        chain = np.concatenate([chain[3:], np.array([r.getrandbits(63) for _ in range(3)], np.int64)])
+        sets.append(np.sort(chain))
+    base = [r.getrandbits(63) for _ in range(100)]
+    sets += [np.unique(np.array(r.sample(base, 89) + [r.getrandbits(63) for _ in range(11)], np.int64)) for _ in range(40)]
+    sets = dict(enumerate(sets))
     about = spark.createDataFrame([(i, len(s), bytearray(similar.parities(s))) for i, s in sets.items()], "sig long, n int, odd binary")
+    whole = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "sig long, own array<long>")
     rows = spark.createDataFrame([(k, i) for k in (1, 2) for i in sets], "key long, sig long")
     group = spark.createDataFrame([(10, 10), (11, 10)], "sig long, g long")
-    got = [tuple(r) for r in similar._crowded(rows, about, group).collect()]
-    want = []
+    partner, alike = set(), []
     for a in sets:
         for b in range(a):
             apart = max(similar.least_apart(similar.parities(sets[a]), similar.parities(sets[b])), abs(len(sets[a]) - len(sets[b])))
             total = len(sets[a]) + len(sets[b])
-            if 10 * (total - apart) >= 8 * (total + apart) and (b, a) != (10, 11):
-                want.append((b, a))
-    assert sorted(got) == sorted(want) and want
+            if (b, a) != (10, 11) and 10 * (total - apart) >= 8 * (total + apart):
+                partner |= {a, b}
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 10 * both >= 8 * (total - both):
+                alike.append((b, a))
+    near = similar._open(rows, about, group)
+    got = [tuple(x) for x in near.collect()]
+    assert sorted(got) == sorted((k, i) for k in (1, 2) for i in partner) and len(partner) < len(sets)
+    edges = [tuple(x) for x in similar._crowded(near, whole, group).collect()]
+    assert set(edges) <= set(alike) and len(alike) > 1.5 * len(sets)
+    assert roots(sets, [*edges, (10, 11)]) == roots(sets, [*alike, (10, 11)])
+    assert len(edges) < len(sets) or chunk == 7
+
+
+@pytest.mark.parametrize("chunk, rounds", [(5, 6), (5, 1), (5, 0)])
+def test_shingles_with_more_sets_than_a_task_holds(chunk, rounds, spark, sf_dir, monkeypatch):
+    for name, value in (("PAIRWISE", 3), ("CHUNK", chunk), ("ROUNDS", rounds)):
+        monkeypatch.setattr(similar, name, value)
+    docs = copies(spark)
+    out = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in out.collect()) == brute_kept(pairs(docs))
 
 
 def test_near_duplicates_start_from_simhash_and_move_few_sets(spark, sf_dir, monkeypatch):
