@@ -29,7 +29,7 @@ PAIRWISE = 64
 CHUNK = 4096
 ROUNDS = 6
 # Shingles of the sets that one task compares with as many others.
-CHUNK_SHINGLES = 1 << 21
+CHUNK_SHINGLES = 1 << 18
 # Texts that show which shingles are common, and the shingles taken as such. They only set
 # the order in which a set's shingles stand, whatever that is no pair is lost.
 SAMPLE_DOCS = 4_000
@@ -238,6 +238,7 @@ def forest(g: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     g = g[order]
     ends = np.cumsum(sizes)
     _, codes = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    codes = codes.astype(np.int32)
     own = np.zeros(codes.max() + 1, bool)
     # Sets not reached, by size, and their shingles one after the other.
     left, rest = np.arange(len(order)), codes
@@ -255,7 +256,7 @@ def forest(g: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             mine = codes[ends[k] - n : ends[k]]
             own[mine] = True
             stop = starts[hi] if hi < len(left) else len(rest)
-            both = np.add.reduceat(own[rest[starts[lo] : stop]].astype(np.int64), starts[lo:hi] - starts[lo])
+            both = np.add.reduceat(own[rest[starts[lo] : stop]], starts[lo:hi] - starts[lo], dtype=np.int32)
             own[mine] = False
             near = left[lo:hi][10 * both >= ALIKE * (n + sizes[left[lo:hi]] - both)]
             if not len(near):
